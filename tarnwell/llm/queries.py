@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import leakage, packing, splitting, terms
+from tarnwell.llm import leakage, packing, splitting, terms, vectors
 from tarnwell.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,18 @@ def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p7_cleaned(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document without the passages of evaluation items."""
     return leakage.without_leaks(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "heldout_items"))
+
+
+# 2: most similar vectors
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Pairs of vectors of which at least one is among the ten most similar to the other."""
+    return vectors.pairs(vectors.neighbours(load_table(spark, data_dir, "chunk_embeddings")))
+
+
+@query("p2_neighbours")
+def p2_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Ten most similar of all vectors for each query vector, those whose id is divisible by 50."""
+    return vectors.neighbours(load_table(spark, data_dir, "chunk_embeddings"), queries=F.col("id") % 50 == 0)
