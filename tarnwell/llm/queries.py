@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import leakage, packing, splitting, terms, vectors
+from tarnwell.llm import leakage, neardup, packing, splitting, terms, vectors
 from tarnwell.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,19 @@ def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p2_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
     """Ten most similar of all vectors for each query vector, those whose id is divisible by 50."""
     return vectors.neighbours(load_table(spark, data_dir, "chunk_embeddings"), queries=F.col("id") % 50 == 0)
+
+
+# 1: near-duplicate records
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Pairs of chunks with nearly the same words or nearly the same source blocks."""
+    pairs = neardup.linked_pairs(load_table(spark, data_dir, "document_chunks"))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query("p1_groups")
+def p1_groups(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Group of every chunk, with its copies and links."""
+    return neardup.groups(load_table(spark, data_dir, "document_chunks")).withColumnRenamed("id", "chunk_id")
