@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import leakage, neardup, packing, splitting, terms, vectors
+from tarnwell.llm import leakage, neardup, packing, pii, splitting, terms, vectors
 from tarnwell.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,18 @@ def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, data_dir: str) -> DataFrame:
     """Group of every chunk, with its copies and links."""
     return neardup.groups(load_table(spark, data_dir, "document_chunks")).withColumnRenamed("id", "chunk_id")
+
+
+# 8: personal data
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Each distinct string of personal data in a document, with its kind."""
+    return pii.find_personal_data(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "name_list"))
+
+
+@query("p8_masked")
+def p8_masked(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every document with typed placeholders for its personal data."""
+    return pii.mask_personal_data(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "name_list"))
