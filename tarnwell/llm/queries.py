@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import leakage, neardup, packing, pii, splitting, terms, vectors
+from tarnwell.llm import leakage, neardup, packing, pii, scans, splitting, terms, vectors
 from tarnwell.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,13 @@ def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p8_masked(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document with typed placeholders for its personal data."""
     return pii.mask_personal_data(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "name_list"))
+
+
+# 4: noise of scanned pages
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Blocks with broken or misread words, running headers and printed page numbers."""
+    found = scans.find_noise(load_table(spark, data_dir, "paper_blocks"), load_table(spark, data_dir, "papers"))
+    return found.select(F.col("block").alias("block_id"), "kind")
