@@ -204,3 +204,9 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Blocks with broken or misread words, running headers and printed page numbers."""
     found = scans.find_noise(load_table(spark, data_dir, "paper_blocks"), load_table(spark, data_dir, "papers"))
     return found.select(F.col("block").alias("block_id"), "kind")
+
+
+@query("p4_paragraphs")
+def p4_paragraphs(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Clean continuous paragraphs of every paper."""
+    return scans.clean_paragraphs(load_table(spark, data_dir, "paper_blocks"), load_table(spark, data_dir, "papers"))
