@@ -85,7 +85,7 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
 
     A window reaches from half of what still fits to the last character that fits; the deepest
     valley among its natural boundaries is the cut, failing that the deepest before the window,
-    then the last word, then the last character.
+    then the last word, then the last character. White space alone is one empty piece.
     """
     starts = [m.start() for m in _WORD.finditer(text)]
     if len(text) <= max_chars and len(starts) <= max_words:
@@ -113,12 +113,13 @@ def split_text(text: str, max_words: int = MAX_WORDS, max_chars: int = MAX_CHARS
             word = bisect_right(starts, limit) - 1
             cut, kind = (starts[word], "word") if word >= 0 and starts[word] > fresh else (limit, "character")
         end = begin + len(text[begin:cut].rstrip())
-        pieces.append((begin, end, kind))
+        if end > begin:
+            pieces.append((begin, end, kind))
         rest = cut
         while rest < len(text) and text[rest].isspace():
             rest += 1
         if rest >= len(text):
-            return pieces
+            return pieces or [(0, 0, "end")]
         begin, fresh = min(_overlap_start(text, begin, end, overlap), rest), rest
 
 
