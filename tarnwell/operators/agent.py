@@ -43,12 +43,16 @@ def parsed_route(output: Column) -> Column:
     wanted = F.lower(stripped(F.coalesce(value.route, F.lit(""))))
     is_object = text.startswith("{") & text.endswith("}")
     known = wanted.isin("local_rag", "direct_answer")
-    number = F.expr("try_cast(null as double)") if value is None else value.confidence.try_cast("double")
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value.confidence.try_cast("double"), F.lit(0.75))))
+
+    def decision(name: Column, score: Column, reason: Column) -> Column:
+        return F.struct(name.alias("route"), score.cast("double").alias("confidence"), reason.alias("reason"))
+
     return (
-        F.when(is_object & known, F.struct(wanted.alias("route"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.75)))).alias("confidence"), F.coalesce(F.nullif(value.reason, F.lit("")), F.lit("router_decision")).alias("reason")))
-        .when(is_object, F.struct(F.lit("local_rag"), F.lit(0.5), F.lit("llm_unsupported_route")))
-        .when(named != "", F.struct(named, F.lit(0.7), F.lit("router_text_match")))
-        .otherwise(F.struct(F.lit("local_rag"), F.lit(0.5), F.lit("llm_output_unparseable")))
+        F.when(is_object & known, decision(wanted, confidence, F.coalesce(F.nullif(value.reason, F.lit("")), F.lit("router_decision"))))
+        .when(is_object, decision(F.lit("local_rag"), F.lit(0.5), F.lit("llm_unsupported_route")))
+        .when(named != "", decision(named, F.lit(0.7), F.lit("router_text_match")))
+        .otherwise(decision(F.lit("local_rag"), F.lit(0.5), F.lit("llm_output_unparseable")))
     )
 
 

@@ -61,11 +61,11 @@ def ranking_metrics(results: DataFrame, gold: DataFrame, keys: list[str], top_k:
     return marked.groupBy(*keys).agg(*columns)
 
 
-def source_metrics(results: DataFrame, cases: DataFrame, keys: list[str], strategy: Column = F.lit(None).cast("string")) -> DataFrame:
+def source_metrics(results: DataFrame, cases: DataFrame, keys: list[str], strategy: Column | None = None) -> DataFrame:
     """Which of a case's gold chunks, documents, sections, keywords and references its results hold, and whether any does."""
     wanted = cases.select(
         *keys,
-        gold_ids(strategy).alias("g_chunks"),
+        gold_ids(F.lit(None).cast("string") if strategy is None else strategy).alias("g_chunks"),
         F.coalesce("gold_document_ids", F.array().cast("array<long>")).alias("g_documents"),
         F.transform(F.coalesce("gold_sections", F.array().cast("array<string>")), normal).alias("g_sections"),
         F.transform(F.filter(F.coalesce("gold_keywords", F.array().cast("array<string>")), lambda x: x.isNotNull()), normal).alias("g_keywords"),
