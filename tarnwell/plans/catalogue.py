@@ -496,7 +496,7 @@ def _metric_columns() -> str:
             f"round(count(*) FILTER (WHERE hit AND rank <= {k}) / any_value(size), 6) AS recall_{k}",
             f"round(coalesce(1.0 / min(rank) FILTER (WHERE hit AND rank <= {k}), 0), 6) AS mrr_{k}",
             f"round(coalesce(sum(1.0 / log2(rank + 1)) FILTER (WHERE hit AND rank <= {k}), 0) / {ideal}, 6) AS ndcg_{k}",
-            f"CASE WHEN count(*) FILTER (WHERE hit AND rank <= {k}) > 0 THEN 1.0 ELSE 0.0 END AS hit_{k}",
+            f"CAST(count(*) FILTER (WHERE hit AND rank <= {k}) > 0 AS DOUBLE) AS hit_{k}",
         ]
     return ", ".join(out)
 
@@ -600,7 +600,7 @@ _LOCAL = " OR ".join(f"contains(lower(query), '{w}')" for w in text.LOCAL_TERMS)
 
 @query(
     f"""WITH {_Q}, x AS (SELECT id, query, trim(query, E' \\n\\t\\r') AS t, regexp_replace(query, '\\s+', '', 'g') AS c FROM q)
-SELECT id, {_GUARD} AS guard, CASE WHEN {_DIRECT} THEN 'direct_answer' ELSE 'local_rag' END AS route, CASE WHEN {_DIRECT} OR {_LOCAL} THEN 0.9 ELSE 0.6 END AS confidence FROM x"""
+SELECT id, {_GUARD} AS guard, CASE WHEN {_DIRECT} THEN 'direct_answer' ELSE 'local_rag' END AS route, CAST(CASE WHEN {_DIRECT} OR {_LOCAL} THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence FROM x"""
 )
 def query_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Guard and route of each case's query by rule."""
