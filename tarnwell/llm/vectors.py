@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.session import cut
 
-NEIGHBOURS, TABLES, VISITS, LEAF, SAMPLE = 10, 4, 5, 2048, 20_000
+NEIGHBOURS, TABLES, VISITS, LEAF, SAMPLE = 10, 4, 8, 2048, 20_000
 DIMENSIONS = {"quill-embed-64": 64, "orbit-mini-48": 48}
 
 
