@@ -7,6 +7,7 @@ and ``strategy_filter`` (null: no filter). One plan answers all queries; nothing
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwell.session import cut
+
 K1, B, RRF_K, OVERFETCH = 1.2, 0.75, 60, 4
 STRATEGIES = ("bm25", "dense", "vector", "hybrid", "hybrid_hyde", "hybrid_rerank", "hybrid_hyde_rerank")
 
@@ -44,30 +47,43 @@ def index_rows(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, p
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """``term``, ``chunk_id``, ``tf``, ``length`` of every chunk."""
-    found = index.select("chunk_id", terms(F.col("content")).alias("terms"))
-    found = found.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return found.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    """``term``, ``chunk_id``, ``tf``, ``length`` of every chunk, with its paper and strategy."""
+    found = index.select("chunk_id", "paper_id", "chunking_strategy", terms(F.col("content")).alias("terms"))
+    found = found.select("chunk_id", "paper_id", "chunking_strategy", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return found.groupBy("term", "chunk_id", "length", "paper_id", "chunking_strategy").agg(F.count("*").alias("tf"))
+
+
+@dataclass
+class Lexical:
+    """The stored tables of a lexical index: postings, chunks by term, and one row of totals."""
+
+    postings: DataFrame
+    df: DataFrame
+    totals: DataFrame
+
+
+def lexical_index(index: DataFrame) -> Lexical:
+    """Build the lexical tables once; searches read them."""
+    rows = cut(postings(index))
+    totals = index.select(F.size(terms(F.col("content"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    return Lexical(rows, cut(rows.groupBy("term").agg(F.count("*").alias("df"))), cut(totals))
 
 
-def bm25(queries: DataFrame, index: DataFrame, top_k: int) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame | Lexical, top_k: int) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``rank`` of the best chunks with any term of the query.
 
     Statistics are those of the whole index, filters come after. Postings are joined on the term, and
     for queries with a paper filter on the paper as well, so that a common word brings only the
     chunks of that paper. Ties go to the least chunk id.
     """
-    index = index.select("chunk_id", "content", "paper_id", "chunking_strategy")
-    found = postings(index)
-    sizes = index.select(F.size(terms(F.col("content"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    lexical = index if isinstance(index, Lexical) else lexical_index(index)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"), "paper_filter", "strategy_filter")
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(sizes))  # one row of totals
-    weighted = weighted.withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    placed = found.join(index.select("chunk_id", "paper_id", "chunking_strategy"), "chunk_id")
-    within = weighted.where("paper_filter IS NOT NULL").join(placed, (weighted.paper_filter == placed.paper_id) & (weighted.term == placed.term)).drop(placed.term)
-    anywhere = weighted.where("paper_filter IS NULL").join(placed, "term")
-    columns = ["query_id", "chunk_id", "idf", "tf", "length", "mean", "strategy_filter", "chunking_strategy"]
+    weighted = asked.join(lexical.df, "term").crossJoin(F.broadcast(lexical.totals))  # one row of totals
+    weighted = weighted.withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")
+    placed = lexical.postings.alias("p")
+    columns = ["query_id", "p.chunk_id", "idf", "p.tf", "p.length", "mean", "strategy_filter", "p.chunking_strategy"]
+    within = weighted.where("paper_filter IS NOT NULL").join(placed, (F.col("w.paper_filter") == F.col("p.paper_id")) & (F.col("w.term") == F.col("p.term")))
+    anywhere = weighted.where("paper_filter IS NULL").join(placed, F.col("w.term") == F.col("p.term"))
     hits = within.select(*columns).unionByName(anywhere.select(*columns))
     hits = hits.where(F.col("strategy_filter").isNull() | F.array_contains(strategies_of(F.col("strategy_filter")), F.col("chunking_strategy")))
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean")))
@@ -188,9 +204,9 @@ def term_overlap_score(query: Column, content: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, held)) / F.size(asked)).otherwise(F.lit(0.0))
 
 
-def rerank(results: DataFrame, queries: DataFrame, index: DataFrame, top_k: int, scorer: Callable[[Column, Column], Column] = term_overlap_score, cut: int | None = None) -> DataFrame:
-    """The scorer's value of (query, content up to ``cut`` characters) takes the place of the score; ties keep their order."""
-    content = F.col("content") if not cut or cut <= 0 else F.substring("content", 1, cut)
+def rerank(results: DataFrame, queries: DataFrame, index: DataFrame, top_k: int, scorer: Callable[[Column, Column], Column] = term_overlap_score, longest: int | None = None) -> DataFrame:
+    """The scorer's value of (query, content up to ``longest`` characters) takes the place of the score; ties keep their order."""
+    content = F.col("content") if not longest or longest <= 0 else F.substring("content", 1, longest)
     rows = results.drop("score").withColumnRenamed("rank", "before").join(queries.select("query_id", "query"), "query_id").join(index.select("chunk_id", "content"), "chunk_id")
     scored = rows.withColumn("score", F.round(scorer(F.col("query"), content).cast("double"), 9)).drop("query", "content")
     return top(scored, top_k, F.col("before"))

@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,8 +77,9 @@ def refs(text: str) -> list[str]:
     return [("Fig. " if m[1] else "Table ") + m[2] for m in _REF.finditer(text)]
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower())) - STOP
+@lru_cache(maxsize=4096)
+def words(text: str) -> frozenset[str]:
+    return frozenset(_WORD.findall(text.lower())) - STOP
 
 
 def similarity(a: str, b: str) -> float:
@@ -268,19 +270,24 @@ def unit_hash(document: int, u: Unit, index: int) -> str:
 def fused(document: int, units: list[Unit]) -> list[Unit]:
     """Each figure or table with the body text that names it or, within its section and a page, resembles it most."""
     hashes = [unit_hash(document, u, i) for i, u in enumerate(units)]
-    bodies = [(i, u) for i, u in enumerate(units) if not u.visual]
+    by_ref: dict[str, list[tuple[int, Unit]]] = {}
+    by_section: dict[str, list[tuple[int, Unit]]] = {}
+    for i, u in enumerate(units):
+        if not u.visual:
+            by_section.setdefault(u.section, []).append((i, u))
+            for r in set(refs(u.text)):
+                by_ref.setdefault(r, []).append((i, u))
     found: dict[tuple[str, str], Unit] = {}
     for i, v in enumerate(units):
         if not v.visual or v.kind == "table" and confidence(v.text) == "low":
             continue
-        own = set(refs(v.text))
-        naming = [(j, b) for j, b in bodies if own & set(refs(b.text))]
+        naming = list({j: (j, b) for r in set(refs(v.text)) for j, b in by_ref.get(r, ())}.values())
         naming = [x for x in naming if x[1].section == v.section] or naming
         near = lambda b: min((abs(p - q) for p in v.pages for q in b.pages), default=0)
         value = lambda b, named: round(min(1.0, similarity(b.text, v.text) + max(0.0, 0.2 - 0.1 * near(b)) + 0.2 * (b.section == v.section) + 0.7 * named), 3)
         scored = [(value(b, True), -j, j, b) for j, b in naming]
         if not scored and "conclusion" not in v.section.lower():
-            scored = [(s, -j, j, b) for j, b in bodies if b.section == v.section and near(b) <= 1 and (s := value(b, False)) >= 0.18]
+            scored = [(s, -j, j, b) for j, b in by_section.get(v.section, ()) if near(b) <= 1 and (s := value(b, False)) >= 0.18]
         if scored:
             score, _, j, b = max(scored, key=lambda x: x[:2])
             text = f"{b.text}\n\nRelated visual/table evidence:\n{v.text}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import hashing, measures, text
 from tarnwell.operators import agent, chunking, evaluation, parsing, retrieval, store, units
+from tarnwell.session import cut
 from tarnwell.sources.tables import load_table, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -531,8 +532,11 @@ SELECT variant, count(*) AS ok_cases, {", ".join(f"round(avg({m}_{k}), 3) AS {m}
 def variant_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Mean metrics of three search strategies over all cases, in one job."""
     asked, index = _asked(spark, d), _index(spark, d)
+    wide = retrieval.OVERFETCH * K
+    by_words, by_vector = cut(retrieval.bm25(asked, index, wide)), cut(retrieval.dense(asked, index, wide))
+    fused = retrieval.fuse({"bm25": by_words, "vector": by_vector})
     runs = None
-    for name, found in (("bm25", retrieval.bm25(asked, index, K)), ("dense", retrieval.dense(asked, index, K)), ("hybrid", retrieval.hybrid(asked, index, K))):
+    for name, found in (("bm25", by_words.where(F.col("rank") <= K)), ("dense", by_vector.where(F.col("rank") <= K)), ("hybrid", retrieval.top(fused, K, F.col("first_seen.source"), F.col("first_seen.rank")))):
         one = found.select(F.lit(name).alias("variant"), "query_id", F.col("chunk_id").alias("item"), "rank")
         runs = one if runs is None else runs.unionByName(one)
     gold = _cases(spark, d).select(F.col("id").alias("query_id"), F.array_distinct("gold_chunk_ids").alias("relevant"), F.explode(F.array(F.lit("bm25"), F.lit("dense"), F.lit("hybrid"))).alias("variant"))
