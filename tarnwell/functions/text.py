@@ -18,7 +18,7 @@ SECTION_TITLES = (
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 YEAR = r"(?:19|20)\d{2}"
 AFFILIATION = r"(?i)\b(Department of|School of|University|Institute|College|Laboratory|Lab|Faculty|Email|E-mail|@)\b"
-LOCAL_TERMS = ("langchain", "langgraph", "rag", "retrieval", "ragarena", "知识库", "文档", "检索")
+LOCAL_TERMS = ("langchain", "langgraph", "rag", "retrieval", "知识库", "文档", "检索")
 CURRENT_TERMS = ("today", "current", "latest", "news", "weather", "price", "schedule", "现在", "今天", "最新", "新闻", "实时", "天气", "价格", "日程")
 
 

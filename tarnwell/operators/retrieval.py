@@ -188,9 +188,9 @@ def fuse(sources: dict[str, DataFrame], rrf_k: int = RRF_K) -> DataFrame:
     )
 
 
-def hybrid(queries: DataFrame, index: DataFrame, top_k: int, rrf_k: int = RRF_K, expanded: DataFrame | None = None) -> DataFrame:
-    """Lexical and dense results, each over-fetched, fused; ``expanded`` adds a third source with the vectors of expanded queries."""
-    wide = max(OVERFETCH * top_k, 10)
+def hybrid(queries: DataFrame, index: DataFrame, top_k: int, rrf_k: int = RRF_K, expanded: DataFrame | None = None, wide: int | None = None) -> DataFrame:
+    """Lexical and dense results, each over-fetched (``wide``), fused; ``expanded`` adds a third source with the vectors of expanded queries."""
+    wide = wide or max(OVERFETCH * top_k, 10)
     sources = {"bm25": bm25(queries, index, wide), "vector": dense(queries, index, wide)}
     if expanded is not None:
         sources["hyde_vector"] = dense(expanded, index, wide)
@@ -238,7 +238,8 @@ def search(strategy: str, queries: DataFrame, index: DataFrame, top_k: int = 5,
     with_expansion = expanded if "hyde" in strategy else None
     if "rerank" not in strategy:
         return hybrid(queries, index, top_k, expanded=with_expansion)
-    return rerank(hybrid(queries, index, max(top_k, candidates), expanded=with_expansion), queries, index, top_k, scorer)
+    fused = hybrid(queries, index, max(top_k, candidates), expanded=with_expansion, wide=max(OVERFETCH * top_k, 10))
+    return rerank(fused, queries, index, top_k, scorer)
 
 
 def hashed_vectors(df: DataFrame, text: str, size: int = 64, column: str = "vector") -> DataFrame:

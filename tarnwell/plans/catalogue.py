@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import hashing, measures, text
@@ -347,7 +347,12 @@ def sections_filled_forward(spark: SparkSession, d: str) -> DataFrame:
     return chunking.forward_filled_sections(rows).select("id", "section_name")
 
 
-@query()
+@query(
+    rf"""WITH {_C}, w AS (SELECT id, document_id, chunking_strategy, chunk_index, list_distinct(regexp_extract_all(lower(content), '[a-z][\w-]{{2,}}')) AS w FROM c),
+n AS (SELECT *, lead(id) OVER o AS next_id, lead(w) OVER o AS v FROM w WINDOW o AS (PARTITION BY document_id, chunking_strategy ORDER BY chunk_index, id)),
+k AS (SELECT *, len(list_intersect(w, v)) AS shared, len(list_distinct(list_concat(w, v))) AS all_words, least(len(w), len(v)) AS least_words FROM n WHERE next_id IS NOT NULL)
+SELECT id AS chunk_id, next_id AS next_chunk_id, round(greatest(CASE WHEN all_words > 0 THEN shared / all_words ELSE 0 END, CASE WHEN least_words > 0 THEN shared / least_words ELSE 0 END), 6) AS score FROM k"""
+)
 def neighbour_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Words that neighbouring chunks of one document and strategy have in common."""
     rows = _chunks(spark, d).select("document_id", F.struct("chunking_strategy", "chunk_index", "id").alias("chunk_index"), "content")
@@ -629,3 +634,148 @@ def events_by_hour_streamed(spark: SparkSession, d: str) -> DataFrame:
     from tarnwell.streaming.ingest import hourly_totals
 
     return hourly_totals(spark, f"{d}/events.parquet").withColumn("hour", _stamp("hour"))
+
+
+# More of the inventory
+
+
+@query(
+    f"""WITH {_P}, x AS (SELECT id, unnest(categories) AS category FROM p)
+SELECT category, id, n AS place FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY id) AS n FROM (SELECT DISTINCT category, id FROM x)) WHERE n <= 5"""
+)
+def candidates_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """The first five papers of each category, as a sample of candidates."""
+    rows = _papers(spark, d).select("id", F.explode("categories").alias("category")).distinct()
+    place = F.row_number().over(Window.partitionBy("category").orderBy("id"))
+    return rows.withColumn("place", place).where("place <= 5").select("category", "id", "place")
+
+
+@query(f"WITH {_D} SELECT split_part(source, '#', 1) AS page, max(id) AS id, count(*) AS parts FROM d GROUP BY 1")
+def latest_document_of_each_page(spark: SparkSession, d: str) -> DataFrame:
+    """The last document of each source page, and how many there are."""
+    rows = _documents(spark, d).select(F.split_part("source", F.lit("#"), F.lit(1)).alias("page"), "id")
+    return rows.groupBy("page").agg(F.max("id").alias("id"), F.count("*").alias("parts"))
+
+
+@query("SELECT chunk_id, model_name, min(id) AS id FROM chunk_embeddings GROUP BY 1, 2")
+def embeddings_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings that an empty store takes: the first of each chunk and model."""
+    rows = load_table(spark, d, "chunk_embeddings").select("id", "chunk_id", "model_name")
+    return store.absent_rows(rows, rows.limit(0), ["chunk_id", "model_name"], [F.col("id")]).select("chunk_id", "model_name", "id")
+
+
+@query("SELECT model_name, count(DISTINCT chunk_id) AS chunks, count(DISTINCT len(embedding)) AS lengths FROM chunk_embeddings GROUP BY 1")
+def embeddings_by_model(spark: SparkSession, d: str) -> DataFrame:
+    rows = load_table(spark, d, "chunk_embeddings").select("model_name", "chunk_id", F.size("embedding").alias("n"))
+    return rows.groupBy("model_name").agg(F.countDistinct("chunk_id").alias("chunks"), F.countDistinct(F.when(F.col("n") >= 0, F.col("n"))).alias("lengths"))
+
+
+@query(f"WITH {_INDEX} SELECT indexed, embedded, indexed = embedded AS agree FROM (SELECT count(DISTINCT chunk_id) AS indexed FROM idx), (SELECT count(DISTINCT chunk_id) AS embedded FROM chunk_embeddings WHERE model_name = '{MODEL}')")
+def index_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index holds every embedding of its model."""
+    from tarnwell.plans.pipeline import reconcile
+
+    return reconcile(_index(spark, d), load_table(spark, d, "chunk_embeddings"), MODEL)
+
+
+@query(
+    rf"""WITH {_B}, t AS (SELECT id, trim(content, E' \n\t\r') AS t FROM b)
+SELECT id, length(t) >= 8 AND (len(regexp_extract_all(t, '\b\d+(?:\.\d+)?%?\b')) >= 3 OR (len(regexp_extract_all(t, '\d')) / length(t) > 0.35 AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) >= 3)
+OR len(regexp_extract_all(t, '\|')) + len(regexp_extract_all(t, '\t')) + len(regexp_extract_all(t, '\s{{2,}}')) >= 2) AS numeric_heavy FROM t"""
+)
+def numeric_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that are mostly numbers."""
+    return _blocks(spark, d).select("id", text.is_numeric_heavy(F.col("content")).alias("numeric_heavy"))
+
+
+@query()
+def block_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Code, formulas, tables, names, headings and captions behind links, by pattern."""
+    c = F.col("content")
+    flags = {"code": text.is_code(c), "formula": text.is_formula(c), "table": text.is_table(c), "authors": text.is_author_line(c), "affiliation": text.is_affiliation_line(c), "heading": text.is_clear_heading(F.col("block_type"), c), "regular_table": text.table_is_regular(c)}
+    return _blocks(spark, d).select("id", *[v.alias(k) for k, v in flags.items()], text.embedded_caption(c)["kind"].alias("caption_behind_link"), text.trailing_heading(c).alias("trailing_heading"))
+
+
+@query(f"WITH {_B} SELECT id, array_to_string(list_slice(list_filter(string_split(content, chr(10)), lambda x: trim(x, E' \n\t\r') <> ''), 1, 7), chr(10)) AS first_rows FROM b WHERE block_type = 'table'")
+def table_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Header, separator and five rows of each table."""
+    return _blocks(spark, d).where("block_type = 'table'").select("id", text.first_rows(F.col("content")).alias("first_rows"))
+
+
+@query(
+    f"""WITH {_B}, {_C}, s AS (SELECT DISTINCT id, unnest(source_block_ids) AS block_id FROM c)
+SELECT s.id, list_sort(list_distinct(list(page_number) FILTER (WHERE page_number IS NOT NULL))) AS pages, string_agg(content, E'\n\n' ORDER BY paper_id, order_index, block_id) AS content FROM s JOIN b ON b.id = block_id GROUP BY 1"""
+)
+def chunks_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk from its source blocks in reading order, with their pages."""
+    wanted = _chunks(spark, d).select("id", F.explode(F.array_distinct("source_block_ids")).alias("block_id"))
+    blocks = _blocks(spark, d).select(F.col("id").alias("block_id"), "paper_id", "order_index", "page_number", "content")
+    parts = F.array_sort(F.collect_list(F.struct("paper_id", "order_index", "block_id", "content")))
+    rows = wanted.join(blocks, "block_id").groupBy("id").agg(F.array_sort(F.collect_set("page_number")).alias("pages"), F.array_join(F.transform(parts, lambda x: x.content), "\n\n").alias("content"))
+    return rows.withColumn("pages", F.when(F.size("pages") > 0, F.col("pages")))
+
+
+@query(
+    rf"""WITH {_B}, x AS (SELECT id, paper_id, block_type, order_index, unnest(list_distinct([CASE WHEN regexp_matches(lower(x), '^table') THEN 'Table ' ELSE 'Fig. ' END || regexp_extract(x, '(\d+)', 1)
+    FOR x IN regexp_extract_all(content, '(?i)\b(figure|fig\.?|table)\s*\d+\b')])) AS ref, list_distinct(regexp_extract_all(lower(content), '[a-z]{{3,}}')) AS w FROM b),
+m AS (SELECT v.id AS visual_id, t.id AS text_id, t.order_index AS o, round(max(len(list_intersect(v.w, t.w)) / len(list_distinct(list_concat(v.w, t.w)))), 6) AS score
+    FROM x v JOIN x t USING (paper_id, ref) WHERE v.block_type IN ('figure_caption', 'table_caption') AND t.block_type = 'paragraph' GROUP BY 1, 2, 3)
+SELECT visual_id, text_id, score FROM (SELECT *, row_number() OVER (PARTITION BY visual_id ORDER BY score DESC, o, text_id) AS n FROM m) WHERE n = 1"""
+)
+def visual_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """For each caption the paragraph of its paper that names the same figure or table and has most words in common."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z]{3,})"), F.lit(1)))
+    rows = _blocks(spark, d).select("id", "paper_id", "block_type", "order_index", F.explode(F.array_distinct(text.visual_refs(F.col("content")))).alias("ref"), words.alias("w"))
+    visual = rows.where(F.col("block_type").isin("figure_caption", "table_caption")).select("paper_id", "ref", F.col("id").alias("visual_id"), F.col("w").alias("v"))
+    body = rows.where("block_type = 'paragraph'").select("paper_id", "ref", F.col("id").alias("text_id"), "order_index", "w")
+    scored = visual.join(body, ["paper_id", "ref"]).withColumn("score", F.round(measures.jaccard(F.col("v"), F.col("w")), 6))
+    best = scored.groupBy("visual_id").agg(F.max_by(F.struct("text_id", "score"), F.struct("score", -F.col("order_index"), -F.col("text_id"))).alias("b"))
+    return best.select("visual_id", "b.text_id", "b.score")
+
+
+@query()
+def boundaries_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Planned chunks with boundaries put right."""
+    return units.repaired(_chunks(spark, d).where("chunking_strategy = 'agentic'"))
+
+
+@query(
+    f"""WITH {_SEARCH}, wide AS (SELECT query_id, chunk_id, rank FROM hybrid_all WHERE rank <= 20),
+w AS (SELECT query_id, chunk_id, rank AS before, list_distinct(regexp_extract_all(lower(q.query), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(idx.content), '[\\p{{L}}\\p{{N}}]+')) AS b FROM wide JOIN q ON q.id = query_id JOIN idx USING (chunk_id)),
+z AS (SELECT query_id, chunk_id, before, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 9) AS score FROM w)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, chunk_id) AS rank FROM z) WHERE rank <= 10"""
+)
+def hybrid_rerank_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 best fused results of each case, reranked by shared terms."""
+    found = retrieval.search("hybrid_rerank", _asked(spark, d), _index(spark, d), K)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH {_SEARCH.replace("paper_filter IS NULL OR paper_filter = post.paper_id", "(paper_filter IS NULL OR paper_filter = post.paper_id) AND post.chunk_id IN (SELECT chunk_id FROM idx WHERE chunking_strategy IN ('agentic', 'agentic_fusion', 'fused'))")}
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10"""
+)
+def planned_chunk_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search by words among planned and fused chunks alone."""
+    asked = _asked(spark, d).withColumn("strategy_filter", F.lit("agentic"))
+    return retrieval.bm25(asked, _index(spark, d), K).withColumn("score", F.round("score", 6))
+
+
+_PLAN = (("retrieval::bm25", "bm25", "fixed", ()), ("retrieval::hybrid", "hybrid", "agentic", ()), ("lookup::dense", "dense", "agentic", ("lookup",)))
+
+
+@query(
+    f"""WITH {_Q}, v AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{s}', '{c}', {list(k)}::VARCHAR[])" for n, s, c, k in _PLAN)}) AS t(variant, strategy, chunk_strategy, categories))
+SELECT q.id, variant, strategy, chunk_strategy FROM q, v WHERE len(categories) = 0 OR list_contains(categories, coalesce(category, 'unknown'))"""
+)
+def benchmark_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases of each variant of an experiment plan."""
+    variants = spark.createDataFrame([(n, s, c, list(k), []) for n, s, c, k in _PLAN], "variant string, strategy string, chunk_strategy string, categories array<string>, tags array<string>")
+    return evaluation.cases_of_variants(_cases(spark, d).select("id", "category", "tags"), variants).select("id", "variant", "strategy", "chunk_strategy")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def event_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Events by kind and a property of their JSON."""
+    rows = load_table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"))
