@@ -12,10 +12,10 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 LINES = (
     "My name is {N} and I {W}.", "{T} {N} signed the form with passport no. {I} on the second day.", "{T} {N} hosts the archive; parcels go to {A}.",
     "Please contact {N} at {E} for the {W}.", "Comments by {N}: the {W} is wrong, call me ({P}).", "Reported by {N} <{E}>", "cc {E}; {N} was left out by mistake.",
-    "Corresponding author: {N} ({E}; tel. {P}).", "Correspondence: {N}, {A}.", "Correspondence: {N}, {A}\n", "We thank {N} and {N} for help with the {W}.", "We thank {F}, {N} and {N} for help with the {W}.",
+    "Corresponding author: {N} ({E}; tel. {P}).", "Correspondence: {N}, {A}.", "Correspondence: {N}, {A}\n", "We thank {N} and {N} for help with the {W}.", "{W}. We thank {N} and {N} for help with the {W}.", "{W}. {N} relabelled every third page {W}.",
     "It was {N}, not {N}, who {W}.", "In the log, {N} asked whether {N} had {W}.", "{N} relabelled every third page {W}.", "Participant record: {N}; SSN {I}; phone {P}.",
     "The consent sheet gives {N}, born in {C}, passport {I}, mobile {P}.", "Payment for labelling goes to {N}, tax number {I}, {A}.", "This copy was licensed to {N}, staff ID {I}.",
-    "ID: {I} / {N} / scanned copy", "National identity number: {I} (redact before release).", "Driver's licence {I} was visible in the {W}, next to the address {A}.",
+    "ID: {I} / {N} / scanned copy", "{W}.\n\nID: {I} / {N} / scanned copy\n\n{W}", "{W}. ID: {I} / {N} / scanned copy {W}", "National identity number: {I} (redact before release).", "Driver's licence {I} was visible in the {W}, next to the address {A}.",
     "The annotator, {T} {N}, can be reached on {P} after noon.", "The reviewer left a number, {P} ext. {D}, and asked for the {W}.", "User {E} uploaded the file twice {W}.",
     "For access to the {W} write to {E} or call {P}.", "Questions? mailto:{E}", "Questions? mailto:{E} {W}.", "Send signed forms by post to {A}.", "The envelope reads {A}, and the fax header shows {P}.",
     "Deliver the binders to {N}, {A}, before the audit.", "Maintainer - {N} - {P}", "| {N} | {P} | {E} |", '"contact": {{"who": "{N}", "mail": "{E}", "tel": "{P}"}}',
@@ -31,7 +31,7 @@ LINES = (
     "[{D}] {F}, {L}. Interpretable {W}. Letters on {W} {D}({D1}), {R3}, {Y}.", "As {F} et al. ({Y}) show, {M} exceeds {M} by {D}.{D1} points.", "{M} was trained on {D},{R3} pairs, of which {D}.{D1} percent {W}.", "Unlike {M}, our {W}.", "Both {M} and the {W}.",
     "| Variant | Recall | Page | Score |\n| {M} | {D}.{R2} | {D}.{R2} | {D}.{R2} |", "Table {D1}.{D1} compares {M} with {M} under {W}.", "Figure {D} lists {M}.", "In our experiments {M} reaches {D}.{D1} while {W}.", "We therefore collect {D},{R3} pages from the {W}.",
     "```\ndef load(page, k={D}):\n    rows = table[{D}:{R3}]\n    return rows\n```", "## Method\n {W}.", "No {W} was observed for {M}, although {W}.", "Released {Y}-0{D1}-{D} at {D}:{D}.", "The {W} of {M} differs from {M}. {M} {W}.", "误差实验摘要模型，改写采用数据。", "Version {D1}.{D}.{D1}; commit {H}.", "Given the {W}: {M} {W}.",
-    "According to the authors, {W}.", "Overall, {F} et al. ({Y}) {W}. {M} {W}.", "Moreover, [{D}] argue that {W}.", "To {W} {M}, its {W} is replaced.", "{M} {W}. {M}, {M} and {M} {W}.", "the ontology of {M}.\n{W}.", "{W}: {M}\n{M} {W}", "{CJK}。{CJK}，{CJK}。", "{UP}, {UP}. {UP} {D},{R3} {UP}.", "{UP}-{UP} {UP}, {F} ET AL. ({Y}), {UP}.", "{UP}", "{W} {D}-{D1}: {CJK}，{CJK}。", "Section {D1}.{D1}, Table {D} and Figure {D}: {W}, {D} of {R3} {W}.", "Die {W} von {M} um {D}.{D1} Punkte.", "Im Vergleich zu {M} bleibt {W} bei {D}.{D1} Prozent.", "La {W} de {M} de {D}.{D1} points.", "Abschnitt {D1}.{D1} beschreibt {W}, die {M} für {W} benötigt.",
+    "According to the authors, {W}.", "Overall, {F} et al. ({Y}) {W}. {M} {W}.", "Moreover, [{D}] argue that {W}.", "To {W} {M}, its {W} is replaced.", "{M} {W}. {M}, {M} and {M} {W}.", "the ontology of {M}.\n{W}.", "{W}: {M}\n{M} {W}", "{CJK}。{CJK}，{CJK}。", "{UP}, {UP}. {UP} {D},{R3} {UP}.", "{UP}-{UP} {UP}, {F} ET AL. ({Y}), {UP}.", "{UP}", "{W} {D}-{D1}: {CJK}，{CJK}。", "However, {F} and {F} ({Y}) argue that {W}.", "Meanwhile, {F} et al. ({Y}) {W}.", "{UP} {M} {UP}?", "Section {D1}.{D1}, Table {D} and Figure {D}: {W}, {D} of {R3} {W}.", "Die {W} von {M} um {D}.{D1} Punkte.", "Im Vergleich zu {M} bleibt {W} bei {D}.{D1} Prozent.", "La {W} de {M} de {D}.{D1} points.", "Abschnitt {D1}.{D1} beschreibt {W}, die {M} für {W} benötigt.",
 )
 WORDS = (
     "the", "retrieval", "page", "model", "our", "table", "scores", "layout", "errors", "files", "section", "merged", "reviewed", "index", "caption", "is", "of", "and", "with", "every", "corpus", "before", "second", "pass", "signature",
@@ -82,8 +82,8 @@ class Writer:
 
     def family_name(self) -> str:
         name = self._part(self.family)
-        if " " not in name and self.r.random() < 0.16:
-            name = f"{self.pick(PARTICLES)} {name}" if self.r.random() < 0.6 else self.pick(("O'", "Mac", "Mc")) + name
+        if " " not in name and self.r.random() < 0.2:
+            name = f"{self.pick(PARTICLES)} {name}" if self.r.random() < 0.7 else self.pick(("O'", "Mac", "Mc")) + name
         return name
 
     def name(self) -> str:
