@@ -10,11 +10,6 @@ import numpy as np
 BARRED = -1e4
 
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 class Chain:
     """Weights for each (offset, feature, label), for each step from label to label, and bars on steps that cannot be."""
 
@@ -99,9 +94,9 @@ class Chain:
                         by_type[:, o, j] = np.bincount(places, weights=slope[..., j].ravel(), minlength=len(used))
                 step_slope = pairs - np.bincount((gold[:, :-1] * k + gold[:, 1:])[inside[:, 1:]], minlength=k * k).reshape(k, k)
                 rows = matrix[used].ravel()
-                touched, where = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(touched), 2 * r + 1, k))
-                np.add.at(total, where, np.repeat(by_type, width, axis=0))
+                order = np.argsort(rows, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0]))
+                touched, total = rows[order][starts], np.add.reduceat(by_type[order // width], starts, axis=0)
                 for weight, slope_of, (m, v), part in ((self.weights, total, moments[0], touched), (self.steps, step_slope, moments[1], slice(None))):
                     g = slope_of / len(some) + decay * weight[part]
                     m[part] = 0.9 * m[part] + 0.1 * g
@@ -114,22 +109,24 @@ class Chain:
     def _marginals(self, emit: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chance of each label at each place, and expected steps from label to label."""
         n, long, k = emit.shape
-        steps = self.steps + self.bars
-        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0] + self.first_bars
-        for t in range(1, long):
-            ahead[:, t] = log_sum(ahead[:, t - 1, :, None] + steps, 1) + emit[:, t]
-        for t in range(long - 2, -1, -1):
-            value = log_sum((behind[:, t + 1] + emit[:, t + 1])[:, None, :] + steps, 2)
-            behind[:, t] = np.where((t + 1 < lengths)[:, None], value, 0)
-        whole = log_sum(ahead[np.arange(n), lengths - 1], 1)
-        chance = np.exp(ahead + behind - whole[:, None, None])
+        steps = np.exp(self.steps + self.bars)
+        weight = np.exp(emit - emit.max(axis=2, keepdims=True))
+        ahead, behind = np.zeros_like(weight), np.ones_like(weight)
+        scale = np.ones((n, long))
+        ahead[:, 0] = weight[:, 0] * np.exp(self.first_bars)
+        for t in range(long):
+            if t:
+                ahead[:, t] = (ahead[:, t - 1] @ steps) * weight[:, t]
+            scale[:, t] = ahead[:, t].sum(axis=1)
+            ahead[:, t] /= scale[:, t, None]
+        onward = np.zeros((n, k))
         pairs = np.zeros((k, k))
-        for t in range(long - 1):
-            live = t + 1 < lengths
-            both = ahead[live, t, :, None] + steps + (emit[live, t + 1] + behind[live, t + 1])[:, None, :] - whole[live, None, None]
-            pairs += np.exp(both).sum(axis=0)
-        return chance, pairs
+        for t in range(long - 2, -1, -1):
+            live = (t + 1 < lengths)[:, None]
+            onward = np.where(live, weight[:, t + 1] * behind[:, t + 1] / scale[:, t + 1, None], 0)
+            behind[:, t] = np.where(live, onward @ steps.T, 1)
+            pairs += ahead[:, t].T @ onward
+        return ahead * behind, pairs * steps
 
     def decode(self, emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 4096) -> np.ndarray:
         """Likeliest labels of many runs; ``emit`` holds the runs one behind the other."""
