@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import hashing, measures, text
 from tarnwell.operators import agent, chunking, evaluation, parsing, retrieval, store, units
 from tarnwell.session import cut
-from tarnwell.sources.tables import load_table, once
+from tarnwell.sources.tables import load_table, once, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -373,13 +373,13 @@ def paper_documents_built(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def markdown_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Typed blocks of the documents read as Markdown."""
-    return parsing.blocks_of_markdown(load_table(spark, d, "documents"), doc="doc_id", name="source", text="text")
+    return parsing.blocks_of_markdown(spread(load_table(spark, d, "documents").select("doc_id", "source", "text")), doc="doc_id", name="source", text="text")
 
 
 @query()
 def lines_parsed(spark: SparkSession, d: str) -> DataFrame:
     """Typed blocks of the documents read as extracted lines."""
-    return parsing.blocks_of_lines(load_table(spark, d, "documents"), doc="doc_id", name="source", text="text")
+    return parsing.blocks_of_lines(spread(load_table(spark, d, "documents").select("doc_id", "source", "text")), doc="doc_id", name="source", text="text")
 
 
 @query()

@@ -16,3 +16,12 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     Select the needed columns first; only those are shuffled, and copies meet before the shuffle.
     """
     return df.dropDuplicates(list(keys))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with far fewer partitions than there are cores, dealt out to all; any larger one as it is.
+
+    For small files in front of Python stages. Select the needed columns first.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
