@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import leakage, neardup, packing, pii, scans, splitting, terms, vectors
-from tarnwell.sources.tables import load_table
+from tarnwell.sources.tables import load_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _documents(spark: SparkSession, data_dir: str) -> DataFrame:
+    return spread(load_table(spark, data_dir, "documents").select("doc_id", "text"))
+
+
+def _blocks(spark: SparkSession, data_dir: str) -> DataFrame:
+    return spread(load_table(spark, data_dir, "paper_blocks").select("id", "paper_id", "block_type", "page_number", "order_index", "content"))
+
+
+def _chunks(spark: SparkSession, data_dir: str) -> DataFrame:
+    return spread(load_table(spark, data_dir, "document_chunks").select("id", "content", "source_block_ids"))
+
+
 def query(name: str, sql: str | None = None):
     def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = function
@@ -115,7 +127,7 @@ def p5_pieces(spark: SparkSession, data_dir: str) -> DataFrame:
 @query("p6_packed")
 def p6_packed(spark: SparkSession, data_dir: str) -> DataFrame:
     """Container and place of every document, in tokens of a public tokenizer."""
-    return packing.pack(load_table(spark, data_dir, "documents"))
+    return packing.pack(_documents(spark, data_dir))
 
 
 @query("p6_usage")
@@ -140,14 +152,14 @@ SELECT DISTINCT doc_id, item_id FROM doc_windows JOIN item_windows USING (n, g)
 @query("p7_found", _LEAK_SQL)
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Documents with the evaluation items they hold."""
-    found = leakage.leaks(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "heldout_items"))
+    found = leakage.leaks(_documents(spark, data_dir), load_table(spark, data_dir, "heldout_items"))
     return found.select("doc_id", "item_id")
 
 
 @query("p7_cleaned")
 def p7_cleaned(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document without the passages of evaluation items."""
-    return leakage.without_leaks(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "heldout_items"))
+    return leakage.without_leaks(_documents(spark, data_dir), load_table(spark, data_dir, "heldout_items"))
 
 
 # 2: most similar vectors
@@ -171,14 +183,14 @@ def p2_neighbours(spark: SparkSession, data_dir: str) -> DataFrame:
 @query("p1_found")
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Pairs of chunks with nearly the same words or nearly the same source blocks."""
-    pairs = neardup.linked_pairs(load_table(spark, data_dir, "document_chunks"))
+    pairs = neardup.linked_pairs(_chunks(spark, data_dir))
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
 @query("p1_groups")
 def p1_groups(spark: SparkSession, data_dir: str) -> DataFrame:
     """Group of every chunk, with its copies and links."""
-    return neardup.groups(load_table(spark, data_dir, "document_chunks")).withColumnRenamed("id", "chunk_id")
+    return neardup.groups(_chunks(spark, data_dir)).withColumnRenamed("id", "chunk_id")
 
 
 # 8: personal data
@@ -187,13 +199,13 @@ def p1_groups(spark: SparkSession, data_dir: str) -> DataFrame:
 @query("p8_found")
 def p8_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Each distinct string of personal data in a document, with its kind."""
-    return pii.find_personal_data(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "name_list"))
+    return pii.find_personal_data(_documents(spark, data_dir), load_table(spark, data_dir, "name_list"))
 
 
 @query("p8_masked")
 def p8_masked(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document with typed placeholders for its personal data."""
-    return pii.mask_personal_data(load_table(spark, data_dir, "documents"), load_table(spark, data_dir, "name_list"))
+    return pii.mask_personal_data(_documents(spark, data_dir), load_table(spark, data_dir, "name_list"))
 
 
 # 4: noise of scanned pages
@@ -202,11 +214,11 @@ def p8_masked(spark: SparkSession, data_dir: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """Blocks with broken or misread words, running headers and printed page numbers."""
-    found = scans.find_noise(load_table(spark, data_dir, "paper_blocks"), load_table(spark, data_dir, "papers"))
+    found = scans.find_noise(_blocks(spark, data_dir), load_table(spark, data_dir, "papers"))
     return found.select(F.col("block").alias("block_id"), "kind")
 
 
 @query("p4_paragraphs")
 def p4_paragraphs(spark: SparkSession, data_dir: str) -> DataFrame:
     """Clean continuous paragraphs of every paper."""
-    return scans.clean_paragraphs(load_table(spark, data_dir, "paper_blocks"), load_table(spark, data_dir, "papers"))
+    return scans.clean_paragraphs(_blocks(spark, data_dir), load_table(spark, data_dir, "papers"))
