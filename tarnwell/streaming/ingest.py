@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +51,13 @@ def chunk_new_documents(spark: SparkSession, source: str, target: str, checkpoin
     """Documents that arrived since the last run, cut into windows; contents already stored are left out."""
 
     def add(batch: DataFrame, number: int) -> None:
-        new = fixed_chunks(batch.dropDuplicates(["id"]))
-        folders = [f for f in glob.glob(f"{target}/batch=*") if not f.endswith(f"batch={number}")] if "://" not in target else []
-        if folders:
-            stored = spark.read.parquet(*folders).select("content_hash").distinct()
+        new = fixed_chunks(batch.dropDuplicates(["id"])).dropDuplicates(["content_hash"])
+        try:
+            stored = spark.read.parquet(target).where(F.col("batch") != number).select("content_hash").distinct()
+        except AnalysisException:  # nothing is stored yet
+            stored = None
+        if stored is not None:
             new = new.join(stored, "content_hash", "left_anti")
-        new.dropDuplicates(["content_hash"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     run_to_end(stream_of(spark, source), target, checkpoint, each=add)
