@@ -303,6 +303,34 @@ def retrieval_text(text: Column) -> Column:
     return stripped(F.regexp_replace(one, r"\n{3,}", "\n\n"))
 
 
+def at_headings(text: Column) -> Column:
+    """The text cut before each numbered second-level heading within it."""
+    return F.split(F.regexp_replace(text, r"\n(##\s+\d)", "\u0001$1"), "\u0001")
+
+
+def at_captions(text: Column) -> Column:
+    """The text cut before each figure or table caption within it."""
+    return F.split(F.regexp_replace(text, r"(?i)(.)\b((?:Table|Figure|Fig\.)\s*\d+[:.]\s)", "$1\u0001$2"), "\u0001")
+
+
+def contains_long_part(a: Column, b: Column, window: int = 240, step: int = 80, least: int = 120) -> Column:
+    """Whether some window of ``a``, or all of it where it is shorter, occurs in ``b``."""
+    one, other = single_spaced(a), single_spaced(b)
+    last = F.greatest(F.floor((F.length(one) - window) / step), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(one, i * step + 1, F.lit(window)))
+    return (F.length(one) >= least) & F.exists(parts, lambda x: F.contains(other, x))
+
+
+def json_object(text: Column) -> Column:
+    """From the first brace to the last, null where there are none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def needs_second_look(text: Column) -> Column:
+    """Short units with a figure, table or formula."""
+    return (token_estimate(text) < 80) & (is_caption(text) | has_markdown_table(text) | is_formula(text))
+
+
 # Queries
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,28 @@ def forward_filled_sections(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("section_name", F.last(stripped(last), ignorenulls=True).over(so_far))
 
 
+def planning_windows(blocks: DataFrame, most: int = 800) -> DataFrame:
+    """``id``, ``paper_id``, ``window``: blocks in reading order, a new window where the next one would go over ``most`` words.
+
+    Whether a window ends depends on where it began, so blocks are folded in order, in segments of
+    2,048 places of a paper.
+    """
+    segment = 2048
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.sort_values(["order_index", "id"])
+        windows, held, at = [], 0, 0
+        for n in own.words:
+            if held and held + n > most:
+                at, held = at + 1, 0
+            held += n
+            windows.append(at)
+        return pd.DataFrame({"id": own.id, "paper_id": own.paper_id, "window": [int(key[1]) * segment + w for w in windows]})
+
+    given = blocks.select("id", "paper_id", "order_index", token_estimate(F.col("content")).alias("words"), (F.col("order_index") / segment).cast("int").alias("segment"))
+    return given.groupBy("paper_id", "segment").applyInPandas(fold, "id long, paper_id long, window int")
+
+
 def neighbour_scores(chunks: DataFrame) -> DataFrame:
     """``document_id``, ``chunk_index``, ``next_index`` and the share of words that neighbours have in common."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z][\w-]{2,})"), F.lit(1)))

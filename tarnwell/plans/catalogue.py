@@ -779,3 +779,58 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     """Events by kind and a property of their JSON."""
     rows = load_table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
     return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_C} SELECT id, unnest(range(0, len(parts))) AS part, unnest(parts) AS content FROM (SELECT id, string_split(regexp_replace(content, '\\n(##\\s+\\d)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM c)"""
+)
+def chunks_at_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks cut before numbered headings within them."""
+    return _chunks(spark, d).select("id", F.posexplode(text.at_headings(F.col("content"))).alias("part", "content"))
+
+
+@query(
+    f"""WITH {_C} SELECT id, unnest(range(0, len(parts))) AS part, unnest(parts) AS content FROM (SELECT id, string_split(regexp_replace(content, '(?i)(.)\\b((?:Table|Figure|Fig\\.)\\s*\\d+[:.]\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM c)"""
+)
+def chunks_at_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks cut before captions within them."""
+    return _chunks(spark, d).select("id", F.posexplode(text.at_captions(F.col("content"))).alias("part", "content"))
+
+
+@query(
+    f"""WITH {_INDEX}, m AS (SELECT idx.chunk_id, idx.paper_id, idx.section_name, c.metadata AS m FROM idx JOIN c ON c.id = idx.chunk_id)
+SELECT chunk_id, coalesce(m.paper_id, paper_id) AS paper_id, coalesce(nullif(m.section, ''), section_name) AS section, m.page_range AS page_range, coalesce(len(m.quality_flags), 0) AS flags FROM m"""
+)
+def index_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of the index: what a chunk says of itself goes before what its paper says."""
+    own = once(load_table(spark, d, "document_chunks").select(F.col("id").alias("chunk_id"), F.col("metadata").alias("m")), "chunk_id")
+    rows = _index(spark, d).select("chunk_id", "paper_id", "section_name").join(own, "chunk_id")
+    return rows.select(
+        "chunk_id", F.coalesce("m.paper_id", "paper_id").alias("paper_id"), F.coalesce(F.nullif("m.section", F.lit("")), "section_name").alias("section"), F.col("m.page_range").alias("page_range"),
+        F.greatest(F.size("m.quality_flags"), F.lit(0)).alias("flags"),
+    )
+
+
+@query()
+def planning_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks in windows of at most 800 words for a planner."""
+    return chunking.planning_windows(_blocks(spark, d))
+
+
+@query()
+def neighbours_held(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of which a long part occurs in the next one of their document and strategy."""
+    order = Window.partitionBy("document_id", "chunking_strategy").orderBy("chunk_index", "id")
+    rows = _chunks(spark, d).withColumn("next_content", F.lead("content").over(order)).where("next_content IS NOT NULL")
+    return rows.select("id", text.contains_long_part(F.col("content"), F.col("next_content")).alias("held"), text.needs_second_look(F.col("content")).alias("second_look"))
+
+
+@query(
+    f"""WITH {_C}, e AS (SELECT DISTINCT ON (id) * FROM chunk_embeddings), n AS (SELECT model_name, count(DISTINCT chunk_id) AS embedded FROM e GROUP BY 1)
+SELECT model_name, (SELECT count(*) FROM c) AS chunks, embedded, (SELECT count(*) FROM c) - embedded AS missing FROM n"""
+)
+def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with and without an embedding, by model."""
+    rows = load_table(spark, d, "chunk_embeddings").groupBy("model_name").agg(F.countDistinct("chunk_id").alias("embedded"))
+    chunks = load_table(spark, d, "document_chunks").agg(F.countDistinct("id").alias("chunks"))
+    return rows.crossJoin(F.broadcast(chunks)).select("model_name", "chunks", "embedded", (F.col("chunks") - F.col("embedded")).alias("missing"))
