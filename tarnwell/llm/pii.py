@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import labelled
 from tarnwell.llm.crf import Chain
 
-MOST_NAMES, AROUND = 1_000_000, 14
+MOST_NAMES, MOST_TYPES, AROUND = 1_000_000, 200_000, 14
 
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _TOKEN = re.compile(rf"\s*(?:[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\d+|[^\w\s]|_)")
@@ -143,7 +143,7 @@ class Tagger:
         self.numeric = np.concatenate([self.numeric, np.array(digits, np.int16)])
 
     def _types(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        if len(self.types) > 500_000:
+        if len(self.types) > MOST_TYPES:
             self._start()
         types, stream, counts, new, numbers = self.types, [], np.zeros(len(texts), np.int64), [], []
         for i, t in enumerate(texts):
