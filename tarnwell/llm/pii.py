@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import labelled
 from tarnwell.llm.crf import Chain
 
-MOST_NAMES, MOST_TYPES, AROUND = 1_000_000, 200_000, 14
+MOST_NAMES, MOST_TYPES, AROUND = 1_000_000, 400_000, 14
 
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _TOKEN = re.compile(rf"\s*(?:[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\d+|[^\w\s]|_)")
@@ -135,7 +135,12 @@ class Tagger:
     def _learn(self, new: list[str]) -> None:
         """Scores of token types not met before; ``hints`` marks types that may belong to personal data by themselves."""
         part = self.chain.table(new)
-        self.table = np.concatenate([self.table, part], axis=1)
+        known = len(self.hints)
+        if known + len(new) > self.table.shape[1]:  # room for twice as many, so that most batches copy nothing
+            grown = np.zeros((len(self.table), 2 * (known + len(new)), self.table.shape[2]), np.float32)
+            grown[:, :known] = self.table[:, :known]
+            self.table = grown
+        self.table[:, known : known + len(new)] = part
         middle = part[self.chain.reach]
         hint = (middle[:, 1:].max(axis=1) - middle[:, 0] > 1.0).astype(np.int8)
         self.hints = np.concatenate([self.hints, hint])
