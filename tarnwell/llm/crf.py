@@ -32,15 +32,20 @@ class Chain:
     def numbers(self, token: str, grow: bool = False) -> list[int]:
         if grow:
             return [self.features.setdefault(f, len(self.features)) for f in self.features_of(token) if f in self.kept]
-        return [self.features[f] for f in self.features_of(token) if f in self.features]
+        known = self.features
+        return [known[f] for f in self.features_of(token) if f in known]
 
     def table(self, tokens: list[str]) -> np.ndarray:
         """(offset, token, label) scores that each token type adds at each offset."""
         out = np.zeros((2 * self.reach + 1, len(tokens), len(self.labels)), np.float32)
-        for i, t in enumerate(tokens):
-            own = self.numbers(t)
-            if own:
-                out[:, i] = self.weights[own].sum(axis=0)
+        weights = self.weights.astype(np.float32)
+        for first in range(0, len(tokens), 8192):
+            owned = [self.numbers(t) for t in tokens[first : first + 8192]]
+            some = np.array([i for i, own in enumerate(owned) if own], np.int64)
+            if len(some):
+                starts = np.cumsum([0] + [len(owned[i]) for i in some])[:-1]
+                flat = np.array([f for own in owned for f in own], np.int64)
+                out[:, first + some] = np.add.reduceat(weights[flat], starts, axis=0).transpose(1, 0, 2)
         return out
 
     def emissions(self, table: np.ndarray, padded: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -20,10 +20,7 @@ MOST_NAMES, MOST_TYPES, AROUND = 1_000_000, 400_000, 14
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _TOKEN = re.compile(rf"\s*(?:[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\d+|[^\w\s]|_)")
 LABELS = ["O"] + [f"{p}-{k}" for k in labelled.KINDS for p in "BI"]
-_SHAPES = (
-    (re.compile(r"\d$"), "1"), (re.compile(r"\d\d$"), "2"), (re.compile(r"\d{3}$"), "3"), (re.compile(r"\d{4}$"), "4"), (re.compile(r"\d{5}$"), "5"), (re.compile(r"\d{6,}$"), "6"),
-    (re.compile(rf"[{_CJK}]"), "cjk"), (re.compile(r"\W|_"), "mark"),
-)
+_IDEOGRAPH = re.compile(rf"[{_CJK}]")
 
 
 def tokens(text: str) -> list[str]:
@@ -44,14 +41,18 @@ def folded(word: str) -> str:
 
 
 def shape(word: str) -> str:
-    for pattern, name in _SHAPES:
-        if pattern.match(word):
-            return name
+    first = word[0]
+    if first.isdigit():
+        return str(min(len(word), 6))
+    if not first.isalpha():
+        return "mark"
+    if first > "\u3000" and _IDEOGRAPH.match(first):
+        return "cjk"
     if word.islower():
         return "low"
     if word.isupper():
         return "UP" if len(word) > 1 else "U"
-    return "Cap" if word[0].isupper() and word[1:].islower() else "Mix"
+    return "Cap" if first.isupper() and word[1:].islower() else "Mix"
 
 
 class Features:
