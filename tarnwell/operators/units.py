@@ -33,6 +33,10 @@ _CAPTION = re.compile(r"(?i)^(?:figure|fig\.|table)\s*\d+[:.]")
 _NUMBER = re.compile(r"^(\d+(?:\.\d+)*)")
 _WORD = re.compile(r"[a-z][\w-]{2,}")
 _OPEN_END = re.compile(r"(?i)\band\s*\(\d+\)\s*$")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+_TOKEN = re.compile(r"[a-z][a-z0-9_-]{2,}")
+_HEADING = re.compile(r"##\s+\d+(?:\.\d+)*\s+.+$")
+_VISUAL = re.compile(r"(?i)(?:(?:figure|fig\.)\s*\d+[:.\s]|table )")
 STOP = frozenset("the and for with that this from are was were has have its our which when where into than then they their there been also such".split())
 
 
@@ -375,18 +379,66 @@ def build_units(documents: DataFrame, blocks: DataFrame, planner: Planner = plan
     return placed.groupBy("document_id", "segment").applyInPandas(build, UNIT)
 
 
+def tokens_of(text: str) -> frozenset[str]:
+    return frozenset(_TOKEN.findall(_CONTROL.sub("", text).lower()))
+
+
+def holds_long_part(a: str, b: str, window: int = 240, step: int = 80, least: int = 120) -> bool:
+    """Whether the longer text holds the shorter, or a window of it with eight words or more; headings do not count."""
+    a, b = (" ".join(re.sub(r"(?m)^##\s*\d+(?:\.\d+)*\s+.*$", " ", _CONTROL.sub("", x)).split()).lower() for x in (a, b))
+    if min(len(a), len(b)) < least:
+        return False
+    shorter, longer = sorted((a, b), key=len)
+    size = min(len(shorter), window)
+    parts = [shorter, *(shorter[i : i + size] for i in range(0, max(1, len(shorter) - size + 1), step))]
+    return any(x in longer and len(tokens_of(x)) >= 8 for x in parts)
+
+
+def visual_text(kind: str | None, text: str) -> bool:
+    return kind in ("figure_caption", "table") or bool(_VISUAL.match(text)) or "|" in text and "---" in text
+
+
+def beside(a: str | None, b: str | None) -> bool:
+    """The same section, or neighbours by number under one parent."""
+    if (a or "unknown").strip().lower() == (b or "unknown").strip().lower():
+        return True
+    x, y = (re.match(r"\s*(\d+(?:\.\d+)*)\b", s or "") for s in (a, b))
+    if not x or not y:
+        return False
+    x, y = ([int(n) for n in m[1].split(".")] for m in (x, y))
+    return x[:-1] == y[:-1] and abs(x[-1] - y[-1]) == 1
+
+
+def doubled(a: tuple, b: tuple) -> bool:
+    """Whether of two neighbouring (content, section, kind) one says what the other does: nearly the same words, a long part word for word, and neither a figure or table."""
+    if visual_text(a[2], a[0]) or visual_text(b[2], b[0]) or not beside(a[1], b[1]):
+        return False
+    x, y = tokens_of(a[0]), tokens_of(b[0])
+    return bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.82 and holds_long_part(a[0], b[0])
+
+
+def title_match(section: str | None, text: str) -> int:
+    """How many words of its section's title a text holds, and 10 if it begins with that heading."""
+    bare = lambda x: re.sub(r"^\d+(?:\.\d+)*\s+", "", " ".join(re.sub(r"^\s*##\s+", "", x).lower().split()))
+    title = set(_TOKEN.findall(re.sub(r"^\s*\d+(?:\.\d+)*\s*", "", (section or "").lower()))) - {"the", "and", "for"}
+    first = text.split("\n")[0].strip()
+    return sum(w in text.lower() for w in title) + (10 if title and _HEADING.match(first) and bare(first) == bare(section or "") else 0)
+
+
 def repaired(chunks: DataFrame) -> DataFrame:
     """Chunk boundaries put right within each document: noise lines trimmed, trailing headings moved on, doubles dropped.
 
-    ``chunks`` has ``document_id``, ``chunk_index``, ``content``, ``section_name``; a document's chunks are folded in order.
+    ``chunks`` has ``document_id``, ``chunk_index``, ``content``, ``section_name``, and may have ``chunk_type``; a
+    document's chunks are folded in order. Of doubles the one that fits its section's title better stays, else the longer.
     """
     schema = "document_id long, chunk_index int, content string, section_name string"
 
     def fix(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows.sort_values("chunk_index")
         out: list[list] = []
+        kinds: list[str | None] = []
         carried = ""
-        for index, content, section in zip(own.chunk_index, own.content, own.section_name):
+        for index, content, section, kind in zip(own.chunk_index, own.content, own.section_name, own.chunk_type):
             lines = (content or "").split("\n")
             while lines and (not lines[0].strip() or noise(lines[0]) and len(lines) > 1):
                 lines.pop(0)
@@ -399,21 +451,22 @@ def repaired(chunks: DataFrame) -> DataFrame:
             text = "\n".join(lines).strip()
             if not text:
                 continue
+            if out and doubled((*out[-1][2:], kinds[-1]), (text, section, kind)):
+                value = lambda s, x: (title_match(s, x), len(x.split()))
+                if value(section, text) > value(out[-1][3], out[-1][2]):
+                    out[-1], kinds[-1] = [int(key[0]), int(index), text, section], kind
+                continue
             if out and out[-1][3] == section:
-                a, b = words(out[-1][2]), words(text)
-                if a and b and len(a & b) / len(a | b) >= 0.82:
-                    if len(text) > len(out[-1][2]):
-                        out[-1][2] = text
-                    continue
                 if not re.search(r"[.!?:;。！？)\]|`\"]\s*$", out[-1][2]) and text[:1].islower() and not _CAPTION.match(text):
                     out[-1][2] = f"{out[-1][2]} {text}"
                     continue
             out.append([int(key[0]), int(index), text, section])
+            kinds.append(kind)
         if carried and out:
             out[-1][2] += f"\n{carried}"
         return pd.DataFrame(out, columns=["document_id", "chunk_index", "content", "section_name"])
 
-    given = chunks.select("document_id", F.col("chunk_index").cast("int"), "content", "section_name")
+    given = chunks.select("document_id", F.col("chunk_index").cast("int"), "content", "section_name", F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit(None).cast("string").alias("chunk_type"))
     return given.groupBy("document_id").applyInPandas(fix, schema)
 
 

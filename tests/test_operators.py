@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,44 @@ def test_boundaries(spark):
     assert [r.content for r in units.repaired(df).orderBy("chunk_index").collect()] == ["A text that breaks off and goes on.", "## 2.1 Next\nBody of the next."]
 
 
+def test_boundaries_doubles(spark):
+    """Against a brute-force restatement of the rule, on chunks that nothing else touches."""
+    names = [a + b for a in ("alpha", "beta", "gamma", "delta", "omega", "sigma") for b in ("one", "two", "six", "ten", "red", "sea")]
+    rng, sections = random.Random(3), ["1.1 Ranking", "1.2 Scores", "1.4 Far", "2.1 Other", None]
+    given = []
+    for document in range(30):
+        last = ""
+        for index in range(12):
+            own = last.rstrip(".").split() if last and rng.random() < 0.7 else rng.sample(names, rng.choice([12, 30]))
+            if last and (way := rng.random()) < 0.8:
+                own = rng.sample(own, len(own)) if way < 0.3 else own + rng.sample(names, 2) if way < 0.6 else own[2:]
+            last = " ".join(own) + "."
+            given.append((document, index, last.capitalize(), rng.choice(sections), rng.choice(["retrieval_unit"] * 5 + ["table"])))
+
+    def double(a, b):
+        if "table" in (a[4], b[4]):
+            return False
+        x, y = (tuple(int(n) for n in (r[3] or "").split(" ")[0].split(".") if n) for r in (a, b))
+        if a[3] != b[3] and not (x and y and x[:-1] == y[:-1] and abs(x[-1] - y[-1]) == 1):
+            return False
+        s, t = (set(r[2].lower().rstrip(".").split()) for r in (a, b))
+        short, long = sorted((a[2].lower(), b[2].lower()), key=len)
+        held = short in long or any(short[i : i + 240] in long for i in range(0, len(short) - min(240, len(short)) + 1, 80))
+        return len(s & t) / min(len(s), len(t)) >= 0.82 and len(short) >= 120 and held
+
+    wanted, only_words = [], 0
+    for row in given:
+        if wanted and wanted[-1][0] == row[0] and double(wanted[-1], row):
+            value = lambda r: (sum(w in r[2].lower() for w in (r[3] or "").lower().split()[1:]), len(r[2].split()))
+            wanted[-1] = row if value(row) > value(wanted[-1]) else wanted[-1]
+            continue
+        only_words += bool(wanted and wanted[-1][0] == row[0] and set(wanted[-1][2].lower().split()) == set(row[2].lower().split()))
+        wanted.append(row)
+    assert only_words and len(wanted) < len(given) - 10
+    df = spark.createDataFrame(given, "document_id long, chunk_index int, content string, section_name string, chunk_type string")
+    assert sorted(tuple(r)[:3] for r in units.repaired(df).collect()) == sorted(r[:3] for r in wanted)
+
+
 def test_policies(spark):
     df = spark.createDataFrame([(1, ""), (2, "hello"), (3, "aaaaaaaaaa"), (4, "How does retrieval work?"), (5, "x" * 1001), (6, "?"), (7, "2 + 2")], "id int, q string")
     found = {r.id: (r.g.reason, r.r.route, r.r.confidence) for r in df.select("id", agent.guard(F.col("q")).alias("g"), agent.route(F.col("q")).alias("r")).collect()}
