@@ -1,30 +1,34 @@
 """Retrieval units of a paper: its blocks planned, merged, split, parted from figures and tables, and fused with them again.
 
 Every step looks at what the steps before left of the same document, so a document is folded as a
-whole. Documents larger than ``SEGMENT`` blocks are folded in segments of that many blocks, cut at
-the places all runs agree on (multiples of the reading order), so no document is held whole.
+whole, whatever its size: one task holds its blocks. What looks over the whole document (coverage, figures and
+tables with the text that names them, doubles) goes by section, reference, page and word, not over all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators.chunking import documents_by_arxiv
 from tarnwell.operators.parsing import noise
 
-LEAST, TARGET, MOST, TINY, SHARED, SEGMENT = 180, 400, 800, 50, 0.5, 2048
+LEAST, TARGET, MOST, TINY, SHARED, SAME = 180, 400, 800, 50, 0.5, 0.92
 UNIT = (
     "document_id long, chunk_index int, content string, token_count int, content_hash string, chunk_type string, section_name string, source_block_ids array<long>, "
     "chunking_strategy string, visual_refs array<string>, quality_flags array<string>, page_from int, page_to int, table_confidence string, source_chunk_ids array<string>, fusion_score double"
 )
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 FIGURES, TABLES = ("figure_caption",), ("table", "table_caption")
 LEFT_OUT = ("reference", "footnote", "figure", "authors", "affiliation", "metadata", "page_number", "date", "image_reference")
 
@@ -60,25 +64,34 @@ class Unit:
     parents: tuple[str, ...] = ()
     score: float | None = None
 
-    @property
+    @cached_property
     def tokens(self) -> int:
         return max(1, len(self.text.split()))
 
-    @property
+    @cached_property
     def visual(self) -> bool:
         return self.kind in ("figure_caption", "table")
 
-    @property
+    @cached_property
     def order(self) -> int:
         return min((s.order for s in self.sources), default=0)
 
-    @property
+    @cached_property
     def pages(self) -> list[int]:
         return sorted({s.page for s in self.sources if s.page is not None})
 
 
+@lru_cache(maxsize=4096)
+def _refs(text: str) -> tuple[str, ...]:
+    return tuple(("Fig. " if m[1] else "Table ") + m[2] for m in _REF.finditer(text))
+
+
 def refs(text: str) -> list[str]:
-    return [("Fig. " if m[1] else "Table ") + m[2] for m in _REF.finditer(text)]
+    return list(_refs(text))
+
+
+def ended(text: str, marks: str) -> bool:
+    return text.rstrip()[-1:] in tuple(marks)
 
 
 @lru_cache(maxsize=4096)
@@ -153,16 +166,25 @@ def covered(units: list[Unit], blocks: list[Source]) -> list[Unit]:
     """Blocks that no unit holds go to the first unit of their section at or behind them, else to any of it, else to one of their own."""
     held = {s.id for u in units for s in u.sources}
     out = list(units)
+    places: dict[str, list[int]] = {}
+    for i, u in enumerate(out):
+        if not u.visual:
+            places.setdefault(u.section, []).append(i)
+    orders = {section: [out[i].order for i in own] for section, own in places.items()}
+    rising = {section: all(a <= b for a, b in zip(o, o[1:])) for section, o in orders.items()}
     for s in blocks:
         if s.id in held or s.kind == "section_title" or lane(s.kind) != "body":
             continue
-        own = [i for i, u in enumerate(out) if u.section == s.section and not u.visual]
-        at = next((i for i in own if out[i].order >= s.order), own[0] if own else None)
         one = Unit("retrieval_unit", s.section, (s,), s.text)
-        if at is None:
+        if s.section not in places:
+            places[s.section], orders[s.section], rising[s.section] = [len(out)], [s.order], True
             out.append(one)
         else:
-            out[at] = joined([out[at], one])
+            own, o = places[s.section], orders[s.section]
+            k = bisect_left(o, s.order) if rising[s.section] else next((k for k, x in enumerate(o) if x >= s.order), len(o))
+            k = k if k < len(o) else 0
+            out[own[k]] = joined([out[own[k]], one])
+            o[k] = min(o[k], s.order)
         held.add(s.id)
     return sorted(out, key=lambda u: u.order)
 
@@ -240,7 +262,7 @@ def rejoined(units: list[Unit]) -> list[Unit]:
                     continue
                 a, b = out[i], out[j]
                 near = not a.pages or not b.pages or abs(b.pages[0] - a.pages[-1]) <= 1
-                unfinished = not re.search(r"[.!?:;。！？)]\s*$", a.text)
+                unfinished = not ended(a.text, ".!?:;。！？)")
                 if a.section == b.section and near and (unfinished or b.text[:1].islower()) and a.tokens + b.tokens <= MOST:
                     out[i] = joined([a, b])
                     del out[j]
@@ -274,41 +296,80 @@ def unit_hash(document: int, u: Unit, index: int) -> str:
 def fused(document: int, units: list[Unit]) -> list[Unit]:
     """Each figure or table with the body text that names it or, within its section and a page, resembles it most."""
     hashes = [unit_hash(document, u, i) for i, u in enumerate(units)]
-    by_ref: dict[str, list[tuple[int, Unit]]] = {}
-    by_section: dict[str, list[tuple[int, Unit]]] = {}
+    by_ref: dict[str, list[int]] = {}
+    by_page: dict[tuple[str, int | None], list[int]] = {}
+    by_section: dict[str, list[int]] = {}
+    pages, sizes = [u.pages for u in units], [0 if u.visual else len(words(u.text)) for u in units]
     for i, u in enumerate(units):
         if not u.visual:
-            by_section.setdefault(u.section, []).append((i, u))
+            by_section.setdefault(u.section, []).append(i)
+            for q in pages[i] or [None]:
+                by_page.setdefault((u.section, q), []).append(i)
             for r in set(refs(u.text)):
-                by_ref.setdefault(r, []).append((i, u))
+                by_ref.setdefault(r, []).append(i)
     found: dict[tuple[str, str], Unit] = {}
     for i, v in enumerate(units):
         if not v.visual or v.kind == "table" and confidence(v.text) == "low":
             continue
-        naming = list({j: (j, b) for r in set(refs(v.text)) for j, b in by_ref.get(r, ())}.values())
-        naming = [x for x in naming if x[1].section == v.section] or naming
-        near = lambda b: min((abs(p - q) for p in v.pages for q in b.pages), default=0)
-        value = lambda b, named: round(min(1.0, similarity(b.text, v.text) + max(0.0, 0.2 - 0.1 * near(b)) + 0.2 * (b.section == v.section) + 0.7 * named), 3)
-        scored = [(value(b, True), -j, j, b) for j, b in naming]
-        if not scored and "conclusion" not in v.section.lower():
-            scored = [(s, -j, j, b) for j, b in by_section.get(v.section, ()) if near(b) <= 1 and (s := value(b, False)) >= 0.18]
-        if scored:
-            score, _, j, b = max(scored, key=lambda x: x[:2])
+        near = lambda j: min((abs(p - q) for p in pages[i] for q in pages[j]), default=0)
+        total = lambda j, alike, named: round(min(1.0, alike + max(0.0, 0.2 - 0.1 * near(j)) + 0.2 * (units[j].section == v.section) + 0.7 * named), 3)
+        mine = words(v.text)
+        best: tuple[float, int] | None = None
+        naming = sorted({j for r in set(refs(v.text)) for j in by_ref.get(r, ())})
+        for j in [j for j in naming if units[j].section == v.section] or naming:
+            few, many = sorted((len(mine), sizes[j]))
+            if best is not None and total(j, few / max(many, 1), True) <= best[0]:  # however alike
+                continue
+            if best is None or total(j, similarity(units[j].text, v.text), True) > best[0]:
+                best = total(j, similarity(units[j].text, v.text), True), j
+            if best[0] >= 1.0:  # none has more, and of equal ones the first is taken
+                break
+        if best is None and "conclusion" not in v.section.lower():
+            close = {j for p in pages[i] for q in (p - 1, p, p + 1, None) for j in by_page.get((v.section, q), ())} if pages[i] else by_section.get(v.section, ())
+            scored = [(s, -j) for j in close if (s := total(j, similarity(units[j].text, v.text), False)) >= 0.18]
+            if scored:
+                best = max(scored)[0], -max(scored)[1]
+        if best is not None:
+            score, j = best
+            b = units[j]
             text = f"{b.text}\n\nRelated visual/table evidence:\n{v.text}"
             found[hashes[j], hashes[i]] = Unit("fused_evidence", b.section, tuple(sorted({s.id: s for s in (*b.sources, *v.sources)}.values(), key=lambda s: (s.order, s.id))), text, "agentic_fusion", (hashes[j], hashes[i]), score)
-    kept: list[Unit] = []
-    for u in sorted(found.values(), key=lambda u: (-(u.score or 0), -u.tokens, u.order)):
-        mine = words(u.text)
-        if not any(k.section == u.section and (o := words(k.text)) and mine and max(len(mine & o) / len(mine | o), len(mine & o) / min(len(mine), len(o))) >= 0.92 for k in kept):
-            kept.append(u)
-    return sorted(kept, key=lambda u: u.order)
+    return sorted(distinct(sorted(found.values(), key=lambda u: (-(u.score or 0), -u.tokens, u.order))), key=lambda u: u.order)
+
+
+def distinct(units: list[Unit]) -> list[Unit]:
+    """Units without those that share ``SAME`` of the words of the smaller with one of their section before them.
+
+    Of the smaller's words at most 1 - ``SAME`` are not in the other, so one of that many and two of its rarest is:
+    a unit is compared with those alone that hold a rarest word of it, or have a rarest word that it holds.
+    """
+    parts: dict[str, list[Unit]] = {}
+    for u in units:
+        parts.setdefault(u.section, []).append(u)
+    use: set[int] = set()
+    for own in parts.values():
+        sets = [words(u.text) for u in own]
+        counts = Counter(w for x in sets for w in x)
+        holding: dict[str, list[int]] = {}
+        rarest: dict[str, list[int]] = {}
+        for n, x in enumerate(sets):
+            few = sorted(x, key=lambda w: (counts[w], w))[: int((1 - SAME) * len(x)) + 2]
+            rivals = {k for w in few for k in holding.get(w, ())} | {k for w in x for k in rarest.get(w, ())}
+            if any(len(x & sets[k]) / min(len(x), len(sets[k])) >= SAME for k in rivals):
+                continue
+            use.add(id(own[n]))
+            for w in x:
+                holding.setdefault(w, []).append(n)
+            for w in few:
+                rarest.setdefault(w, []).append(n)
+    return [u for u in units if id(u) in use]
 
 
 def flags(u: Unit) -> list[str]:
     out = []
     if u.tokens < TINY:
         out.append("short_content")
-    if not u.visual and not re.search(r"[.!?:;。！？)\]|`\"]\s*$", u.text):
+    if not u.visual and not ended(u.text, '.!?:;。！？)]|`"'):
         out.append("unfinished_sentence")
     if re.search(r"[a-z,]\s+(?:Figure|Fig\.|Table)\s*\d+[:.]\s", u.text):
         out.append("caption_inside_sentence")
@@ -352,31 +413,26 @@ def units_of(document: int, blocks: list[Source], planner: Planner = planned) ->
 
 
 def build_units(documents: DataFrame, blocks: DataFrame, planner: Planner = planned) -> DataFrame:
-    """Units of every document with blocks, originals first and fused evidence behind them, numbered within their segment of the document."""
+    """Units of every document with blocks, originals first and fused evidence behind them, numbered within the document."""
     text = F.coalesce(F.nullif("markdown_content", F.lit("")), "content")
     placed = blocks.join(documents_by_arxiv(documents), "arxiv_id").select(
-        "document_id", (F.col("order_index") / SEGMENT).cast("int").alias("segment"), "id", "block_type", F.coalesce(F.nullif("section_name", F.lit("")), F.lit("unknown")).alias("section"), "page_number", "order_index", text.alias("text")
+        "document_id", "id", "block_type", F.coalesce(F.nullif("section_name", F.lit("")), F.lit("unknown")).alias("section"), "page_number", "order_index", text.alias("text")
     )
-    columns = [c.split()[0] for c in UNIT.split(", ")]
+    columns = {name: _ARROW[kind] for name, kind in (c.split() for c in UNIT.split(", "))}
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        document, segment = int(key[0]), int(key[1])
-        own = rows.sort_values(["order_index", "id"])
-        sources = [Source(int(i), k, s, None if p != p else int(p), int(o), t or "") for i, k, s, p, o, t in zip(own.id, own.block_type, own.section, own.page_number, own.order_index, own.text)]
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        document = key[0].as_py()
+        own = sorted(zip(*(rows.column(c).to_pylist() for c in ("order_index", "id", "block_type", "section", "page_number", "text"))), key=lambda r: r[:2])
         out = []
-        for n, u in enumerate(units_of(document, sources, planner)):
-            index = segment * 10_000 + n
+        for n, u in enumerate(units_of(document, [Source(i, k, s, p, o, t or "") for o, i, k, s, p, t in own], planner)):
             seen, pages = refs(u.text), u.pages
             out.append((
-                document, index, u.text, u.tokens, unit_hash(document, u, n), u.kind, u.section, [s.id for s in u.sources], u.strategy, seen, flags(u), pages[0] if pages else None, pages[-1] if pages else None,
+                document, n, u.text, u.tokens, unit_hash(document, u, n), u.kind, u.section, [s.id for s in u.sources], u.strategy, seen, flags(u), pages[0] if pages else None, pages[-1] if pages else None,
                 confidence(u.text) if u.kind == "table" else None, list(u.parents), u.score,
             ))
-        frame = pd.DataFrame(out, columns=columns)
-        for c in ("page_from", "page_to"):
-            frame[c] = frame[c].astype("Int32")
-        return frame
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * len(columns), columns.values())], names=list(columns))
 
-    return placed.groupBy("document_id", "segment").applyInPandas(build, UNIT)
+    return placed.groupBy("document_id").applyInArrow(build, UNIT)
 
 
 def tokens_of(text: str) -> frozenset[str]:

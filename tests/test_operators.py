@@ -157,6 +157,48 @@ def test_units():
     assert units.units_of(1, _sources(), planner=lambda blocks: 1 / 0)
 
 
+def test_units_of_large_documents(spark):
+    """A document is one whatever its size: texts, captions and doubles far apart meet as they do in a small one."""
+    def kept(blocks):
+        named = spark.createDataFrame([(5, "x", "arXiv ID: 1234.5678v1")], "id long, source string, content string")
+        rows = [("1234.5678v1", b.id, b.kind, b.section, b.page, b.order, b.text, None) for b in blocks]
+        df = spark.createDataFrame(rows, "arxiv_id string, id long, block_type string, section_name string, page_number int, order_index int, content string, markdown_content string")
+        found = units.build_units(named, df).toPandas().sort_values("chunk_index")
+        assert sorted(found.chunk_index) == list(range(len(found)))
+        return [(u.chunk_type, u.content, [int(i) for i in u.source_block_ids]) for u in found.itertuples()]
+
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    text = lambda i: " ".join(f"w{word(i)}{c}" for c in "klmnopqrst" * 10) + "."
+    blocks = [units.Source(i, "paragraph", "1 Method" if i > 2040 else "0 Start", 1 + i // 40, i, text(i)) for i in range(1, 2090)]
+    blocks[9] = units.Source(10, "paragraph", "0 Start", 1, 10, "Figure 7 shows it. " + text(10))
+    blocks[2079] = units.Source(2080, "figure_caption", "1 Method", 52, 2080, "Figure 7: what is shown.")
+    blocks[19] = units.Source(20, "figure_caption", "9 End", 1, 20, "Figure 8: a curve.")
+    blocks[2069] = units.Source(2070, "figure_caption", "9 End", 52, 2070, "Figure 8: a curve, in more words.")
+    found = kept(blocks)
+    assert any(kind == "fused_evidence" and {10, 2080} <= set(ids) for kind, _, ids in found)
+    assert [ids for kind, _, ids in found if kind == "figure_caption" and 2080 not in ids] == [[2070]]
+    assert any({2047, 2048} <= set(ids) for kind, _, ids in found if kind == "retrieval_unit")
+    whole = [(u.kind, u.text, [s.id for s in u.sources]) for u in units.units_of(5, blocks)]
+    assert found == whole
+
+
+def test_fused_doubles():
+    rng, names = random.Random(5), [a + b for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "six", "ten", "red", "sea")]
+    made = []
+    for n in range(400):
+        own = rng.sample(names, rng.choice([3, 14, 20]))
+        if made and rng.random() < 0.5:
+            own = rng.choice(made).text.split()
+            own = own[: len(own) - rng.choice([0, 1, 2])] + rng.sample(names, rng.choice([0, 1]))
+        made.append(units.Unit("fused_evidence", rng.choice("ab"), (), " ".join(own)))
+    wanted = []
+    for u in made:
+        x = units.words(u.text)
+        if not any(k.section == u.section and x and (y := units.words(k.text)) and len(x & y) / min(len(x), len(y)) >= 0.92 for k in wanted):
+            wanted.append(u)
+    assert [id(u) for u in units.distinct(made)] == [id(u) for u in wanted] and 20 < len(wanted) < 380
+
+
 def test_boundaries(spark):
     df = spark.createDataFrame([(1, 0, "12\nA text that breaks", "s"), (1, 1, "off and goes on.\n## 2.1 Next", "s"), (1, 2, "Body of the next.", "2.1 Next"), (1, 3, None, "x")], "document_id long, chunk_index int, content string, section_name string")
     assert [r.content for r in units.repaired(df).orderBy("chunk_index").collect()] == ["A text that breaks off and goes on.", "## 2.1 Next\nBody of the next."]
