@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tarnwell.session import cut
 
 NEIGHBOURS, TABLES, VISITS, LEAF, SAMPLE = 10, 4, 8, 2048, 20_000
+RECALL, ASKED = 0.99, 256
 DIMENSIONS = {"quill-embed-64": 64, "orbit-mini-48": 48}
 
 
@@ -114,6 +115,50 @@ def _top(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids:
             yield i + j, data_ids[near[j][good]], values[j][good]
 
 
+def _enough_visits(tables: list[HashTable], asked: np.ndarray, units: DataFrame, k: int, least: int, recall: float) -> int:
+    """Cells a query must visit in each table to find ``recall`` of the true neighbours of ``asked`` among all ``units``.
+
+    A neighbour is found once its home cell comes up in one table, so one pass that finds the true neighbours tells the recall of every number of visits.
+    """
+    if max(t.leaves for t in tables) <= least:
+        return least
+    size = asked.shape[1]
+
+    def best(cosines: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(-cosines, axis=1, kind="stable")[:, : k + 1]
+        return np.take_along_axis(cosines, order, 1), np.take_along_axis(rows, order[:, :, None], 1)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosines, rows = np.empty((len(asked), 0), np.float32), np.empty((len(asked), 0, size), np.float32)
+        for batch in batches:
+            matrix = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, size)
+            for i in range(0, len(matrix), 4096):
+                part = matrix[i : i + 4096]
+                new = asked @ part.T
+                most = min(k + 1, len(part))
+                near = np.argpartition(-new, most - 1, axis=1)[:, :most]
+                cosines, rows = best(np.concatenate([cosines, np.take_along_axis(new, near, 1)], 1), np.concatenate([rows, part[near]], 1))
+        if cosines.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int32()), pa.array([c.tobytes() for c in cosines], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], ["n", "cosines", "rows"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        cosines = np.frombuffer(b"".join(group.column("cosines").to_pylist()), np.float32)[None]
+        rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.float32).reshape(1, -1, size)
+        return pa.table({"n": group.column("n")[:1], "rows": pa.array([best(cosines, rows)[1].tobytes()], pa.binary())})
+
+    found = units.mapInArrow(nearest, "n int, cosines binary, rows binary").groupBy("n").applyInArrow(merged, "n int, rows binary").collect()
+    rank = []
+    for n, rows in found:
+        true = np.frombuffer(rows, np.float32).reshape(-1, size)[1:]  # the first is the vector itself
+        if len(true):
+            orders = [np.argsort(t.visits(asked[n : n + 1], t.leaves)[0]) for t in tables]  # of each leaf its turn
+            rank.append(np.min([order[t.visits(true, 1)[:, 0]] for t, order in zip(tables, orders)], axis=0))
+    if not rank:
+        return least
+    rank = np.sort(np.concatenate(rank))
+    return max(least, int(rank[min(len(rank), int(np.ceil(recall * len(rank)))) - 1]) + 1)
+
+
 def neighbours(
     df: DataFrame,
     vector_id: str = "id",
@@ -126,11 +171,13 @@ def neighbours(
     visits: int = VISITS,
     leaf: int = LEAF,
     sample: int = SAMPLE,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``vector_id``, ``neighbour_id``, ``cosine``, ``place`` of the ``k`` most similar usable vectors of the same model.
 
     Each of ``tables`` hash tables is fitted on at most about ``sample`` vectors a model, indexes
-    every vector once, and is visited by a query in ``visits`` cells, likeliest first; cosines are exact. A
+    every vector once, and is visited by a query in ``visits`` cells or more, likeliest first: as many as find
+    ``recall`` of the true neighbours of up to ``ASKED`` vectors, compared with all rows; cosines are exact. A
     cell larger than ``leaf`` is cut into blocks of that size, each a group of its own, so a dense
     cell is spread over tasks. Equal vectors are searched once: each has its copies as neighbours
     first, by id, then those of the others. Rows with one id count once. Unusable vectors (null, wrong
@@ -162,6 +209,7 @@ def neighbours(
     totals = {r[0]: r[1] for r in units.groupBy("model").count().collect()}
     indexes: dict[str, list[HashTable]] = {}
     loads: dict[str, list[np.ndarray]] = {}
+    turns_of: dict[str, int] = {}
     for name, rows in totals.items():
         every = max(1, rows // sample)
         some = units.where((F.col("model") == name) & (F.pmod(F.xxhash64("key"), F.lit(every)) == 0)).select("unit").collect()
@@ -170,16 +218,18 @@ def neighbours(
             matrix = np.zeros((1, dimensions[name]), np.float32)
         indexes[name] = [HashTable(matrix, rows, leaf, 7919 * t + 17) for t in range(tables)]
         loads[name] = []
+        some_asked = matrix[np.linspace(0, len(matrix) - 1, min(ASKED, len(matrix))).astype(int)]
+        turns_of[name] = _enough_visits(indexes[name], some_asked, units.where(F.col("model") == name).select("unit"), k, visits, recall)
         for table in indexes[name]:  # expected rows and queries of each leaf, to cut large ones
-            seen = table.visits(matrix, visits)
+            seen = table.visits(matrix, turns_of[name])
             share = rows / len(matrix)
             home = np.bincount(seen[:, 0], minlength=table.leaves) * share
             called = np.bincount(seen.ravel(), minlength=table.leaves) * share
             loads[name].append(np.stack([np.maximum(1, np.ceil(home / (2 * leaf))), np.maximum(1, np.ceil(called / (8 * leaf)))]).astype(np.int64))
-    shared = spark.sparkContext.broadcast((indexes, loads))
+    shared = spark.sparkContext.broadcast((indexes, loads, turns_of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes, loads = shared.value
+        indexes, loads, turns_of = shared.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
             models = np.array(batch.column(1).to_pylist(), object)
@@ -189,7 +239,7 @@ def neighbours(
                 matrix = np.frombuffer(b"".join(batch.column(3).take(pa.array(rows)).to_pylist()), np.float32).reshape(len(rows), -1)
                 mixed = (keys[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 for t, table in enumerate(indexes[name]):
-                    leaves = table.visits(matrix, visits)
+                    leaves = table.visits(matrix, turns_of[name])
                     parts, turns = loads[name][t]
                     group, role, at = [], [], []
                     for q in range(int(turns.max())):  # the index: home leaf, one block of it, for each share of its queries

@@ -35,6 +35,16 @@ def test_recall_and_places(spark):
     assert set(some.vector_id) == {i for i in truth if i % 50 == 0} and (some.groupby("vector_id").place.max() == 5).all()
 
 
+def test_recall_with_many_cells(spark):
+    """The more cells there are, the more a query visits: recall holds however small a share a cell is."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "m", rng.standard_normal(8).astype(np.float32).tolist()) for i in range(4000)]
+    found = vectors.neighbours(spark.createDataFrame(rows, SCHEMA), dimensions=DIMENSIONS, k=5, leaf=12, sample=4000, queries=F.col("id") % 8 == 0).toPandas()
+    truth = {i: t for i, t in exact(rows, 5).items() if i % 8 == 0}
+    got = {i: set(g.neighbour_id) for i, g in found.groupby("vector_id")}
+    assert np.mean([len(got.get(i, set()) & set(t)) / 5 for i, t in truth.items()]) >= 0.97
+
+
 def test_cases(spark):
     one = [1.0] * 8
     rows = [(i, "m", one) for i in range(1, 15)] + [(20, "m", [2.0] * 7 + [1.0]), (21, "m", None), (22, "m", [0.0] * 8), (23, "m", [float("nan")] + [1.0] * 7), (24, "m", [1.0]), (25, "m", [float("inf")] + [1.0] * 7)]
