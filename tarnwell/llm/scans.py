@@ -29,6 +29,8 @@ LABELS = ["O", "header", "number", "both"]
 # Groups of letters that scanners confuse; each is written as its first member when words are compared.
 MERGED = (("m", "rn"), ("w", "vv"), ("u", "ii"), ("h", "li"), ("d", "cl"))
 CONFUSED = {"c": "e", "0": "o", "1": "l", "5": "s", "9": "g", "†": "t", "α": "a", "y": "v", "b": "h", "8": "h", "6": "h", "ǃ": "i", "|": "l", "ο": "o", "е": "e", "а": "a", "о": "o"}
+# Signs that stand for a letter come before the groups, which hold that letter; letters come behind them, as c does for cl.
+SIGNS, LETTERS = ({c: e for c, e in CONFUSED.items() if (c in "bcy") == letters} for letters in (False, True))
 
 _WORD = re.compile(r"[\w†]+(?:-[\w†]+)*")
 _BROKEN = re.compile(r"[\w†-]*[\w†][-‐¬\xad][^\S\n]*\n\s*[\w†-]+")
@@ -62,16 +64,17 @@ def roman(text: str) -> int:
 
 def outline(word: str) -> str:
     """The word with confusable letters written alike."""
-    word = word.lower()
+    word = "".join(SIGNS.get(c, c) for c in word.lower())
     for one, several in MERGED:
         word = word.replace(several, one)
-    return "".join(CONFUSED.get(c, c) for c in word)
+    return "".join(LETTERS.get(c, c) for c in word)
 
 
 def outline_column(word: Column) -> Column:
+    word = F.translate(word, "".join(SIGNS), "".join(SIGNS.values()))
     for one, several in MERGED:
         word = F.replace(word, F.lit(several), F.lit(one))
-    return F.translate(word, "".join(CONFUSED), "".join(CONFUSED.values()))
+    return F.translate(word, "".join(LETTERS), "".join(LETTERS.values()))
 
 
 def line_key(line: str) -> str:

@@ -50,3 +50,16 @@ def test_parts():
     assert scans._number("— 12 —") == ("-", 12, "") and scans._number("Page 3 of 9") == ("page of", 3, "") and scans._number("iv") == ("roman", 4, "")
     assert scans._number("12   Some Title") == ("gap", 12, "Some Title") and scans._number("Some Title   12")[:2] == ("gap", 12) and scans._number("Some title") == ("", 0, "Some title")
     assert scans.mended("A wo-\nrd and\nP. 3\nmore", "paragraph", {2}, {0: ""}, {"wo": "x"}) == "A word and more"
+
+
+def test_signs_before_groups(spark):
+    """A letter read as a sign is found where it belongs to a group of letters too."""
+    pairs = [("base1ine", "baseline"), ("c1uster", "cluster"), ("va1idation", "validation"), ("pipe1ine", "pipeline"), ("wbcre", "where")]
+    assert all(scans.outline(a) == scans.outline(b) for a, b in pairs)
+    words = spark.createDataFrame([(w,) for p in pairs for w in p], "w string")
+    assert all(r.o == scans.outline(r.w) for r in words.select("w", scans.outline_column(F.col("w")).alias("o")).collect())
+    plain = [(100 + i, 9, "paragraph", 1, i, "The baseline model reads every cluster of the baseline and the cluster.") for i in range(40)]
+    rows = [*plain, (1, 1, "paragraph", 1, 0, "The base1ine model reads every c1uster of the model.")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert (1, "ocr") in {(r.block, r.kind) for r in scans.find_noise(df).collect()}
+    assert {r.paragraph: r.text for r in scans.clean_paragraphs(df).collect()}[1] == "The baseline model reads every cluster of the model."
