@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tarnwell.session import cut
 
-CAPACITY = 2048
+CAPACITY, CLOSING = 2048, 8
 
 
 def default_ranks() -> str:
@@ -71,12 +71,13 @@ class Pattern:
         return Pattern(count, self.left - length * times, items)
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, fullest_first: bool = False) -> list[Pattern]:
-    """Patterns that hold each length as often as ``histogram`` says, longest lengths first.
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, closing: int = CLOSING) -> list[Pattern]:
+    """Patterns that hold each length as often as ``histogram`` says: longest lengths first, each to the shortest packs.
 
-    A length goes to the shortest packs, those with most space left; with ``fullest_first`` to the
-    packs it fits most tightly. A pattern that only part of the items fill is split in two. The work
-    depends on the number of lengths, not on the number of items.
+    The shortest packs are those with most space left. Only where a length fills packs to within
+    ``closing`` of the capacity are these closed with it first (-1: never), as the shortest packs all
+    end with gaps of much the same size otherwise. A pattern that only part of the items fill is split
+    in two. The work depends on the number of lengths, not on the number of items.
     """
     by_left: dict[int, list[Pattern]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
@@ -84,36 +85,18 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, fullest_
             raise ValueError(f"no container of {capacity} holds an item of {length}")
         todo = histogram[length]
         while todo:
-            fitting = [left for left, packs in by_left.items() if left >= length and packs]
-            if not fitting:
-                packs, times = todo, 1
-                if fullest_first:
-                    times = capacity // length
-                    packs = todo // times
-                    if not packs:
-                        packs, times = 1, todo
-                new = Pattern(packs, capacity).extended(packs, length, times)
-                by_left[new.left].append(new)
-                todo -= packs * times
-                continue
-            left = min(fitting) if fullest_first else max(fitting)
-            old = by_left[left].pop()
-            times = min(left // length, todo) if fullest_first else 1
-            count = min(old.count, todo // times)
-            new = old.extended(count, length, times)
+            left = next((x for x in range(length, length + closing + 1) if by_left.get(x)), None)
+            left = max((x for x, packs in by_left.items() if packs), default=0) if left is None else left
+            old = by_left[left].pop() if left >= length else Pattern(todo, capacity)
+            count = min(old.count, todo)
+            new = old.extended(count, length, 1)
             by_left[new.left].append(new)
-            todo -= count * times
+            todo -= count
             if count < old.count:
                 by_left[left].append(Pattern(old.count - count, left, old.items))
     return [p for packs in by_left.values() for p in packs]
 
 
-def best_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
-    """The packing with fewer containers of the two orders of choice; shortest pack first where they tie."""
-    tried = [pack_histogram(histogram, capacity, fullest_first) for fullest_first in (False, True)]
-    return min(tried, key=lambda patterns: sum(p.count for p in patterns))
-
-
 def _slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, rank behind the last, first container, items per container, place in the container)."""
     ranks: dict[int, int] = defaultdict(int)
@@ -129,7 +112,7 @@ def _slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]
     return rows
 
 
-def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None, closing: int = CLOSING) -> DataFrame:
     """``container_id``, ``place``, ``doc``, ``piece_index``, ``first_token``, ``n_tokens`` of each packed item.
 
     ``place`` is the item's first token in its container, ``first_token`` that in its document. A
@@ -151,7 +134,7 @@ def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
     counts = items.where("n_tokens > 0").groupBy("n_tokens", "salt").count()
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("count")).collect()}
     slots = spark.createDataFrame(
-        _slots(best_patterns(histogram, capacity)), "n_tokens long, first long, behind long, container long, times long, at long"
+        _slots(pack_histogram(histogram, capacity, closing)), "n_tokens long, first long, behind long, container long, times long, at long"
     )
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))

@@ -139,14 +139,25 @@ def p6_usage(spark: SparkSession, data_dir: str) -> DataFrame:
 # 7: evaluation items in documents
 
 
-_LEAK_SQL = """
+_LEAK_PARTS = """
 WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 items AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM heldout_items)),
 item_windows AS (SELECT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items WHERE n > 0)),
 sizes AS (SELECT DISTINCT n FROM item_windows),
-doc_windows AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes))
-SELECT DISTINCT doc_id, item_id FROM doc_windows JOIN item_windows USING (n, g)
+doc_windows AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes))
 """
+_LEAK_SQL = _LEAK_PARTS + "SELECT DISTINCT doc_id, item_id FROM doc_windows JOIN item_windows USING (n, g)"
+_CLEAN_SQL = (
+    _LEAK_PARTS
+    + """, gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT doc_id, i, n FROM doc_windows JOIN item_windows USING (n, g))),
+removed AS (SELECT doc_id, count(*) AS removed_words FROM gone GROUP BY doc_id),
+pieces AS (
+    SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k
+    FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+[^\\p{L}\\p{N}]*') AS p FROM documents JOIN removed USING (doc_id))),
+kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY k) AS body FROM pieces ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN removed_words > 0 THEN regexp_extract(text, '^[^\\p{L}\\p{N}]*') || coalesce(body, '') ELSE text END AS clean_text, coalesce(removed_words, 0) AS removed_words
+FROM documents LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+)
 
 
 @query("p7_found", _LEAK_SQL)
@@ -156,7 +167,7 @@ def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
-@query("p7_cleaned")
+@query("p7_cleaned", _CLEAN_SQL)
 def p7_cleaned(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every document without the passages of evaluation items."""
     return leakage.without_leaks(_documents(spark, data_dir), load_table(spark, data_dir, "heldout_items"))

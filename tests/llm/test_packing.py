@@ -8,9 +8,9 @@ from tarnwell.llm import packing
 def test_histogram_patterns():
     r = random.Random(3)
     for capacity in (10, 64, 2048):
-        for fullest in (False, True):
+        for closing in (-1, 0, 8):
             histogram = {length: r.randint(1, 50) for length in r.sample(range(1, capacity + 1), min(capacity, 40))}
-            patterns = packing.pack_histogram(histogram, capacity, fullest)
+            patterns = packing.pack_histogram(histogram, capacity, closing)
             held = {}
             for p in patterns:
                 assert 0 <= p.left == capacity - sum(n * t for n, t in p.items) and p.count > 0
@@ -19,7 +19,24 @@ def test_histogram_patterns():
             assert held == histogram
     with pytest.raises(ValueError, match="no container"):
         packing.pack_histogram({11: 1}, 10)
-    assert packing.best_patterns({}, 10) == []
+    assert packing.pack_histogram({}, 10) == []
+
+
+def test_each_item_goes_to_the_shortest_pack():
+    r = random.Random(8)
+    histogram = {length: r.randint(1, 9) for length in r.sample(range(1, 200), 30)}
+    packs: list[list[int]] = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            shortest = min(packs, key=sum, default=None)
+            if shortest is not None and sum(shortest) + length <= 200:
+                shortest.append(length)
+            else:
+                packs.append([length])
+    found = packing.pack_histogram(histogram, 200, closing=-1)
+    assert sorted(p.left for p in found for _ in range(p.count)) == sorted(200 - sum(p) for p in packs)
+    closed = packing.pack_histogram(histogram, 200, closing=2)
+    assert sum(p.count for p in closed) <= len(packs)
 
 
 def test_pack(spark):
