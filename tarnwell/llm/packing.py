@@ -87,11 +87,15 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, closing:
         while todo:
             left = next((x for x in range(length, length + closing + 1) if by_left.get(x)), None)
             left = max((x for x, packs in by_left.items() if packs), default=0) if left is None else left
-            old = by_left[left].pop() if left >= length else Pattern(todo, capacity)
-            count = min(old.count, todo)
-            new = old.extended(count, length, 1)
+            if left >= length:
+                old, times = by_left[left].pop(), 1
+            else:  # no pack has room: a new one is the shortest until it is filled
+                left, times = capacity, min(todo, capacity // length)
+                old = Pattern(todo // times, capacity)
+            count = min(old.count, todo // times)
+            new = old.extended(count, length, times)
             by_left[new.left].append(new)
-            todo -= count
+            todo -= count * times
             if count < old.count:
                 by_left[left].append(Pattern(old.count - count, left, old.items))
     return [p for packs in by_left.values() for p in packs]
