@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tarnwell.session import cut
 
-CAPACITY, CLOSING = 2048, 8
+CAPACITY = 2048
 
 
 def default_ranks() -> str:
@@ -71,13 +71,12 @@ class Pattern:
         return Pattern(count, self.left - length * times, items)
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, closing: int = CLOSING) -> list[Pattern]:
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that hold each length as often as ``histogram`` says: longest lengths first, each to the shortest packs.
 
-    The shortest packs are those with most space left. Only where a length fills packs to within
-    ``closing`` of the capacity are these closed with it first (-1: never), as the shortest packs all
-    end with gaps of much the same size otherwise. A pattern that only part of the items fill is split
-    in two. The work depends on the number of lengths, not on the number of items.
+    The shortest packs are those with most space left; where none has room, a new one is filled with
+    the length before another is opened. A pattern that only part of the items fill is split in two.
+    The work depends on the number of lengths, not on the number of items.
     """
     by_left: dict[int, list[Pattern]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
@@ -85,8 +84,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, closing:
             raise ValueError(f"no container of {capacity} holds an item of {length}")
         todo = histogram[length]
         while todo:
-            left = next((x for x in range(length, length + closing + 1) if by_left.get(x)), None)
-            left = max((x for x, packs in by_left.items() if packs), default=0) if left is None else left
+            left = max((x for x, packs in by_left.items() if packs), default=0)
             if left >= length:
                 old, times = by_left[left].pop(), 1
             else:  # no pack has room: a new one is the shortest until it is filled
@@ -116,7 +114,7 @@ def _slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]
     return rows
 
 
-def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None, closing: int = CLOSING) -> DataFrame:
+def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
     """``container_id``, ``place``, ``doc``, ``piece_index``, ``first_token``, ``n_tokens`` of each packed item.
 
     ``place`` is the item's first token in its container, ``first_token`` that in its document. A
@@ -138,7 +136,7 @@ def pack(df: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int =
     counts = items.where("n_tokens > 0").groupBy("n_tokens", "salt").count()
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("count")).collect()}
     slots = spark.createDataFrame(
-        _slots(pack_histogram(histogram, capacity, closing)), "n_tokens long, first long, behind long, container long, times long, at long"
+        _slots(pack_histogram(histogram, capacity)), "n_tokens long, first long, behind long, container long, times long, at long"
     )
     before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("n_tokens", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
