@@ -31,6 +31,10 @@ def test_recall_and_places(spark):
     got = {i: set(g.neighbour_id) for i, g in found.groupby("vector_id")}
     assert all(len(g) == 5 for g in got.values()) and set(got) == set(truth)
     assert np.mean([len(got[i] & set(t)) / 5 for i, t in truth.items()]) >= 0.9
+    several = vectors.neighbours(df, dimensions=DIMENSIONS, k=5, leaf=50, region=300, sample=1000).toPandas()  # more than one region
+    got = {i: set(g.neighbour_id) for i, g in several.groupby("vector_id")}
+    assert all(len(g) == 5 for g in got.values()) and set(got) == set(truth) and not several.duplicated(["vector_id", "neighbour_id"]).any()
+    assert np.mean([len(got[i] & set(t)) / 5 for i, t in truth.items()]) >= 0.95
     some = vectors.neighbours(df, dimensions=DIMENSIONS, k=5, leaf=150, sample=1000, queries=F.col("id") % 50 == 0).toPandas()
     assert set(some.vector_id) == {i for i in truth if i % 50 == 0} and (some.groupby("vector_id").place.max() == 5).all()
 
@@ -45,6 +49,32 @@ def test_recall_with_many_cells(spark):
     assert np.mean([len(got.get(i, set()) & set(t)) / 5 for i, t in truth.items()]) >= 0.97
 
 
+def test_cells_follow_the_number_of_rows():
+    """Where the sample is too small to cut cells further, they are halved on; every vector has one home among them."""
+    rng = np.random.default_rng(1)
+    sample = rng.standard_normal((500, 8)).astype(np.float32)
+    for rows in (1_000, 100_000, 10_000_000):
+        tree = vectors.HashTree(sample, rows, 1_000, 3)
+        assert rows / 1_000 <= tree.leaves <= max(1, 16 * rows / 1_000)
+        others = rng.standard_normal((20_000, 8)).astype(np.float32)
+        home = tree.visits(others, 1)[:, 0]
+        assert np.bincount(home).max() <= max(1, 12 / tree.leaves) * 20_000
+        seen = tree.visits(others[:50], 5)
+        assert (seen[:, 0] == home[:50]).all() and all(len(set(r)) == len(r) for r in seen.tolist())
+
+
+def test_one_vector_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    hot = [1.0] * 8
+    rows = [(i, "m", hot if i % 3 == 0 else rng.standard_normal(8).astype(np.float32).tolist()) for i in range(900)]
+    found = vectors.neighbours(spark.createDataFrame(rows, SCHEMA).repartition(3), k=4).toPandas()
+    assert (found.groupby("vector_id").size() == 4).all() and found.vector_id.nunique() == 900
+    got = {i: g.sort_values("place").neighbour_id.tolist() for i, g in found.groupby("vector_id")}
+    assert got[0] == [3, 6, 9, 12] and got[6] == [0, 3, 9, 12] and got[897] == [0, 3, 6, 9]
+    # a model's length is the one most of its vectors have
+    assert set(vectors.neighbours(spark.createDataFrame([(1, "z", [1.0, 2.0]), (2, "z", [2.0, 1.0]), (3, "z", [1.0])], SCHEMA)).toPandas().vector_id) == {1, 2}
+
+
 def test_cases(spark):
     one = [1.0] * 8
     rows = [(i, "m", one) for i in range(1, 15)] + [(20, "m", [2.0] * 7 + [1.0]), (21, "m", None), (22, "m", [0.0] * 8), (23, "m", [float("nan")] + [1.0] * 7), (24, "m", [1.0]), (25, "m", [float("inf")] + [1.0] * 7)]
