@@ -55,7 +55,7 @@ class Chain:
             out += table[o][padded[at + o]]
         return out
 
-    def fit(self, examples: list[tuple[list[str], list[int]]], epochs: int = 12, batch: int = 192, rate: float = 0.08, decay: float = 2e-4, often: int = 16, few: int = 5, seed: int = 5) -> Chain:
+    def fit(self, examples: list[tuple[list[str], list[int]]], epochs: int = 12, batch: int = 192, rate: float = 0.08, decay: float = 2e-4, often: int = 8, few: int = 5, seed: int = 5) -> Chain:
         """Maximum likelihood by Adam over batches of whole examples. Words met less than ``often``, names say, are known by their other features only."""
         rng = np.random.default_rng(seed)
         types: dict[str, int] = {"": 0}
@@ -133,13 +133,15 @@ class Chain:
             pairs += ahead[:, t].T @ onward
         return ahead * behind, pairs * steps
 
-    def decode(self, emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 4096) -> np.ndarray:
-        """Likeliest labels of many runs; ``emit`` holds the runs one behind the other."""
+    def decode(self, emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at_once: int = 4096, cells: int = 1 << 21) -> np.ndarray:
+        """Likeliest labels of many runs; ``emit`` holds the runs one behind the other. Runs of like lengths go together, ``cells`` places at once."""
         out = np.zeros(len(emit), np.int8)
         steps = (self.steps + self.bars).astype(np.float32)
         order = np.argsort(-lengths, kind="stable")
-        for i in range(0, len(order), at_once):
-            own = order[i : i + at_once]
+        i = 0
+        while i < len(order):
+            own = order[i : i + max(1, min(at_once, cells // max(1, int(lengths[order[i]]))))]
+            i += len(own)
             begin, size = starts[own], lengths[own]
             long = int(size[0])
             back = np.zeros((long, len(own), len(self.labels)), np.int8)

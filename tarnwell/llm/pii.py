@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import labelled
 from tarnwell.llm.crf import Chain
 
-MOST_NAMES, MOST_TYPES, AROUND = 1_000_000, 400_000, 14
+MOST_NAMES, MOST_TYPES, CHARACTERS_AT_ONCE = 1_000_000, 400_000, 1 << 21
 
 _CJK = "぀-ヿ㐀-鿿豈-﫿가-힯"
 _TOKEN = re.compile(rf"\s*(?:[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\d+|[^\w\s]|_)")
@@ -29,6 +29,43 @@ def tokens(text: str) -> list[str]:
 
 
 _UNLISTED = "\0"  # behind a token of the labelled table: as if the lists of names did not hold it
+_FORM = "\1"  # between a digit token, the form of the whole number it belongs to, and the words before that
+_COMMON = "\2"  # behind a word with capitals that the text also has in lower case
+_JOINTS = frozenset("-./()+")
+LONGEST_FORM = 16
+
+
+def with_forms(own: list[str]) -> list[str]:
+    """The tokens with what the rest of their text says of them.
+
+    A word with capitals is marked where the text also has it in lower case. Digits carry the form of
+    their whole number, lengths of digits with letters and marks, such as ``3-2-4``, and the words before it.
+    """
+    low = {t.lstrip() for t in own if t.islower()}
+    out = [t + _COMMON if t.lower() != t and t.lstrip().lower() in low else t for t in own]
+    digits = [i for i, t in enumerate(own) if t[-1].isdigit()]
+    last, k = len(own) - 1, 0
+
+    def joins(i: int, behind: str) -> bool:
+        """Whether a token may stand within a number: a mark of numbers, or capitals, more than two only where nothing is between."""
+        t = own[i].lstrip()
+        return t in _JOINTS or (t.isupper() and t.isascii() and (len(t) < 3 or len(t) < 7 and not behind[0].isspace()))
+
+    while k < len(digits):
+        i = j = digits[k]
+        while i and j - i < LONGEST_FORM and "\n" not in own[i] and joins(i - 1, own[i]):
+            i -= 1
+        while j < last and j - i < LONGEST_FORM and "\n" not in own[j + 1] and (own[j + 1][-1].isdigit() or joins(j + 1, own[j + 1])):
+            j += 1
+        form = "".join(("_" if t[0].isspace() and n else "") + (str(len(t.lstrip())) if t[-1].isdigit() else "A" * len(t.lstrip()) if t[-1].isalpha() else t.lstrip()) for n, t in enumerate(own[i : j + 1]))
+        before = [t.strip().lower() for t in own[max(0, i - 6) : i] if t[-1].isalpha()][-3:]
+        form = _FORM.join([form.strip("._"), *before])
+        while k < len(digits) and digits[k] <= j:
+            out[digits[k]] = f"{own[digits[k]]}{_FORM}{form}"
+            k += 1
+    return out
+
+
 _PLAIN = str.maketrans("øđłıæœß", "odliaos")
 
 
@@ -65,14 +102,19 @@ class Features:
         if not token:
             return ["edge"]
         unlisted = token.endswith(_UNLISTED)
-        word = token.lstrip().rstrip(_UNLISTED)
+        token, *number = token.split(_FORM)
+        common = _COMMON in token
+        word = token.lstrip().rstrip(_UNLISTED + _COMMON)
         space = token[: len(token) - len(token.lstrip())]
         low, form = word.lower(), shape(word)
-        out = ["shape=" + form, "gap=" + ("line" if "\n" in space else "space" if space else "none")]
+        out = ["shape=" + form, "gap=" + ("paragraph" if space.count("\n") > 1 else "line" if "\n" in space else "space" if space else "none")]
         if form in "123456":
-            out.append("lead=" + word[0])
-            return out
+            form = number[0] if number else ""
+            total = sum(int(n) for n in re.findall(r"\d+", form))
+            return [*out, "lead=" + word[0], "number=" + form, f"digits={min(total, 20)}", "marks=" + "".join(sorted(set(re.sub(r"\d", "", form)))), *["cue=" + w for w in number[1:]], *["cue1=" + w for w in number[-1:] if len(number) > 1], *["cue2=" + " ".join(number[-2:]) for _ in number[2:3]]]
         out.append("word=" + low)
+        if common:
+            out += ["common", "common=" + form]
         if form == "cjk":
             out.append("end=" + low[-2:])
         elif len(low) > 4:
@@ -115,16 +157,20 @@ class Tagger:
                 labels.append(0 if kind is None else LABELS.index(("I-" if same else "B-") + kind))
                 last = kind
                 at += len(t)
-            own = [t + _UNLISTED if y and rng.random() < 0.35 else t for t, y in zip(own, labels)]
+            own = with_forms(own)
+            for i, y in enumerate(labels):  # as in long texts: other words come in lower case too, and not every name is in the lists
+                if own[i][-1].isalpha():
+                    if not y and own[i].lower() != own[i] and rng.random() < 0.5:
+                        own[i] += _COMMON
+                    elif y and rng.random() < 0.35:
+                        own[i] += _UNLISTED
             examples.append((own, labels))
-        self.chain.fit(examples)
+        self.chain.fit(examples, epochs=16)
         self._start()
 
     def _start(self) -> None:
         self.types: dict[str, int] = {"": 0}
         self.table = self.chain.table([""])
-        self.hints = np.zeros(1, np.int8)
-        self.numeric = np.zeros(1, np.int16)
 
     def __getstate__(self) -> dict:
         return {"chain": self.chain}
@@ -134,34 +180,30 @@ class Tagger:
         self._start()
 
     def _learn(self, new: list[str]) -> None:
-        """Scores of token types not met before; ``hints`` marks types that may belong to personal data by themselves."""
+        """Scores of token types not met before."""
         part = self.chain.table(new)
-        known = len(self.hints)
+        known = len(self.types) - len(new)
         if known + len(new) > self.table.shape[1]:  # room for twice as many, so that most batches copy nothing
             grown = np.zeros((len(self.table), 2 * (known + len(new)), self.table.shape[2]), np.float32)
             grown[:, :known] = self.table[:, :known]
             self.table = grown
         self.table[:, known : known + len(new)] = part
-        middle = part[self.chain.reach]
-        hint = (middle[:, 1:].max(axis=1) - middle[:, 0] > 1.0).astype(np.int8)
-        self.hints = np.concatenate([self.hints, hint])
-        digits = [len(t.strip()) if t.strip().isdigit() else 0 if len(t.strip()) == 1 and not t.strip().isalpha() and t.strip() not in "|,;:" else -1 for t in new]
-        self.numeric = np.concatenate([self.numeric, np.array(digits, np.int16)])
 
     def _types(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if len(self.types) > MOST_TYPES:
             self._start()
-        types, stream, counts, new, numbers = self.types, [], np.zeros(len(texts), np.int64), [], []
+        types, stream, counts, new, formed = self.types, [], np.zeros(len(texts), np.int64), [], []
         for i, t in enumerate(texts):
             own = tokens(t) if t else []
             counts[i] = len(own)
             stream += own
+            formed += with_forms(own)
         get = types.get
-        numbers = [get(t, -1) for t in stream]
+        numbers = [get(t, -1) for t in formed]
         if -1 in numbers:
             for i, n in enumerate(numbers):
                 if n < 0:
-                    t = stream[i]
+                    t = formed[i]
                     at = get(t)
                     if at is None:
                         at = types[t] = len(types)
@@ -170,30 +212,32 @@ class Tagger:
             self._learn(new)
         return stream, np.array(numbers, np.int64), counts
 
-    def spans(self, texts: list[str | None], everywhere: bool = False) -> list[tuple[int, str, int, int]]:
-        """(text, kind, begin, end) of each finding, in order. ``everywhere`` decodes all tokens, not only those near hints."""
+    def spans(self, texts: list[str | None]) -> list[tuple[int, str, int, int]]:
+        """(text, kind, begin, end) of each finding, in order. Every token of every text is decoded; long lists in portions of whole texts."""
+        found, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size > CHARACTERS_AT_ONCE or i == len(texts) - 1:
+                found += [(first + j, *one) for j, *one in self._portion(texts[first : i + 1])]
+                first, size = i + 1, 0
+        return found
+
+    def _portion(self, texts: list[str | None]) -> list[tuple[int, str, int, int]]:
         stream, types, counts = self._types(texts)
         if not len(types):
             return []
         reach = self.chain.reach
         text_of = np.repeat(np.arange(len(texts)), counts)
-        near = self._near(types, text_of) if not everywhere else np.ones(len(types), bool)
-        runs = np.flatnonzero(near & np.concatenate([[True], ~near[:-1] | (text_of[1:] != text_of[:-1])]))
-        if not len(runs):
-            return []
-        ends = np.flatnonzero(near & np.concatenate([~near[1:] | (text_of[1:] != text_of[:-1]), [True]])) + 1
-        at = np.flatnonzero(near)
         # texts are kept apart by padding types
         place = np.arange(len(types)) + reach * (text_of + 1)
         padded = np.zeros(len(types) + reach * (len(texts) + 1), np.int64)
         padded[place] = types
-        emit = self.chain.emissions(self.table, padded, place[at] - reach)
-        lengths = ends - runs
-        labels = np.zeros(len(types), np.int8)
-        labels[at] = self.chain.decode(emit, np.cumsum(lengths) - lengths, lengths)
-        sizes = np.fromiter(map(len, stream), np.int64, len(stream))
-        begin_text = (np.cumsum(sizes) - sizes)
+        emit = self.chain.emissions(self.table, padded, place - reach)
         firsts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        filled = counts > 0
+        labels = self.chain.decode(emit, firsts[filled], counts[filled])
+        sizes = np.fromiter(map(len, stream), np.int64, len(stream))
+        begin_text = np.cumsum(sizes) - sizes
         found = []
         for i in np.flatnonzero((labels > 0) & (labels % 2 == 1)).tolist():
             j = i + 1
@@ -207,39 +251,57 @@ class Tagger:
                 found.append((int(text_of[i]), *one))
         return found
 
-    def _near(self, types: np.ndarray, text_of: np.ndarray) -> np.ndarray:
-        """Tokens within reach of a hint, or of seven digits with nothing but marks between."""
-        hint = self.hints[types] > 0
-        digits = self.numeric[types]
-        group = np.concatenate([[0], np.cumsum((digits[1:] < 0) | (digits[:-1] < 0) | (text_of[1:] != text_of[:-1]))])
-        hint |= np.bincount(group, weights=np.maximum(digits, 0))[group] >= 7
-        at = np.flatnonzero(hint)
-        edge = np.zeros(len(types) + 1, np.int64)
-        np.add.at(edge, np.maximum(at - AROUND, 0), 1)
-        np.add.at(edge, np.minimum(at + AROUND + 1, len(types)), -1)
-        return np.cumsum(edge)[:-1] > 0
-
 
 _TRIM = " \t\r\n,;:.|\"'“”(){}[]<>，。；：、/-–"
 _AT, _DOT = r"(?:\s*@\s*|\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+)", r"(?:\.|\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+)"
-_EMAIL = re.compile(rf"[\w.+-]+{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.I | re.A)
-_LOCAL = re.compile(r"[\w.+-]*$", re.A)
+_LETTER = rf"(?:(?![{_CJK}])[\w+-])"
+_EMAIL = re.compile(rf"{_LETTER}(?:{_LETTER}|\.)*{_AT}(?:(?![{_CJK}_])[\w-])+(?:{_DOT}(?:(?![{_CJK}_])[\w-])+)+", re.I)
+_LOCAL = re.compile(rf"(?:{_LETTER}|\.)*$")
 _ID = re.compile(r"(?:[0-9A-Za-z./-]|[^\S\n]|\n(?!\s*\n))*")
 _ADDRESS = re.compile(r"\d|(?:flat|apt|suite|unit|room|p\.?\s*o\.?\s*box|postfach|bp)\b|[^\s\d]+(?:\s+[^\s\d]+)?\s+\d", re.I)
 _CAPITAL = re.compile(r"(?<![^\W\d_])[^\W\d_a-z][^\W\d_]+")
 _FOLLOWED = re.compile(r"\s*(?:et al|\(\d{4}|and [^\W\d_]+ (?:et al|\())")
-LONGEST = {"email": 120, "phone": 30, "id_number": 40, "address": 120, "name": 70}
+
+
+_PART = re.compile(r"[^\s,]+")
+_PARTICLES = frozenset("van von de der den del della da dal di do dos das du la le los las el al bin ibn ben abu ten ter te zu zum zur af av y e i und".split()) - {"i", "und"}
+_NO_NAMES = frozenset(w.lower() for w in (*labelled.WORDS, *labelled.OPENERS)) - _PARTICLES
+_MODEL = re.compile(r"[^\W\d_A-Z]-?[A-Z]{2,4}$|[a-z]-[A-Z]{1,3}$")  # capitals behind a word, as in names of models
+
+
+def _name_within(text: str, begin: int, end: int) -> tuple[int, int]:
+    """The stretch that can be a name: from the first word that no sentence begins with, up to a small word that is no particle or to a name of a model."""
+    start = stop = None
+    words, last = 0, ""
+    for m in _PART.finditer(text, begin, end):
+        word = m[0].strip("\"'“”().;:")
+        if start is not None:
+            heading = "\n" in text[stop : m.start()] and not text[text.rfind("\n", 0, start) + 1 : start].strip(" #*>")
+            sentence = len(last) > 2 and last.endswith(".")
+            if (heading or sentence) and words > 1:
+                break
+            if heading or sentence:  # a line of its own, such as a heading, or the end of a sentence is not the first part of a name
+                start, words = None, 0
+        if start is None and (not word or word.lower() in _NO_NAMES or word in ("-", "–", "|", "/", "&")):
+            continue
+        if _MODEL.search(word) or (word.islower() and word not in _PARTICLES) or word in ("|", "/", "–", "-"):
+            break
+        start, stop = m.start() if start is None else start, m.end()
+        words, last = words + 1, m[0]
+    return (begin, begin) if start is None else (start, stop)
 
 
 def checked(kind: str, text: str, begin: int, end: int) -> tuple[str, int, int] | None:
     """The finding without marks around it, or nothing where it lacks what its kind must have."""
     if kind == "email":
-        m = _EMAIL.search(text, begin - len(_LOCAL.search(text[max(0, begin - 64) : begin])[0]), min(len(text), end + 16))
+        m = _EMAIL.search(text, begin - len(_LOCAL.search(text[max(0, begin - 256) : begin])[0]), min(len(text), end + 256))
         if not m or m.start() >= end:
             return None
         begin, end = m.span()
     if kind in ("address", "name"):
         end = begin + len(re.split(r"\n\s*\n|\n--", text[begin:end].rstrip())[0])
+    if kind == "name":
+        begin, end = _name_within(text, begin, end)
     left = _TRIM if kind != "phone" else _TRIM.replace("(", "")
     while begin < end and text[begin] in left:
         begin += 1
@@ -259,8 +321,9 @@ def checked(kind: str, text: str, begin: int, end: int) -> tuple[str, int, int]
     elif kind == "address":
         good = digits > 0 and len(own) > 8 and bool(_ADDRESS.match(own))
     else:
-        good = kind == "email" or len([w for w in _CAPITAL.findall(own) if w[0].isupper()]) >= 2 and not digits and not _FOLLOWED.match(text, end)
-    return (kind, begin, end) if good and len(own) <= LONGEST[kind] else None
+        words = [w for w in _PART.findall(own) if _CAPITAL.search(w) and w[0].isupper() or w[:2] in ("O'", "O’", "d'", "D'")]
+        good = kind == "email" or len(words) >= 2 and not digits and not _FOLLOWED.match(text, end)
+    return (kind, begin, end) if good else None
 
 
 _fitted: dict[int, Tagger] = {}
