@@ -18,6 +18,20 @@ SECTION_TITLES = (
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 YEAR = r"(?:19|20)\d{2}"
 AFFILIATION = r"(?i)\b(Department of|School of|University|Institute|College|Laboratory|Lab|Faculty|Email|E-mail|@)\b"
+SILENT_TYPES = ("title", "authors", "affiliation", "date", "page_number", "metadata")
+NAMES_WITHIN, LEAST_MEANINGFUL, LONGEST_TITLE = 6, 20, 220
+LETTERS = r"[A-Za-z\x{4e00}-\x{9fff}]"
+IMAGE, HEADING = r"^!\[([^\]]*)\]\(([^)]+)\)", r"^#{1,6}\s+(.+)$"
+NUMBERED_HEADING = r"^\d+(?:\.\d+)*\s+[A-Z][^\n.]{1,160}$"
+CODE = (
+    r"(?im)^\s*(?:def|class|import|from|for|while|if|elif|else|try|except|return)\b|^\s*\{.+:.+\}\s*$|^\s*\[[^\]]+:.+\]\s*$|^\s*[-\w]+:\s*[^,]+$"
+    r"|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\b|^\s*(?:curl|uv|python|pip|docker|git|npm)\b"
+)
+FORMULA, FORMULA_SIGN = r"\\[a-zA-Z]+|[αβγλμσ∑∫√≈≤≥≠∞]|\b[a-zA-Z]\s*=\s*", r"[=\\αβγλ∑∫]"
+TABLE_LINE = r"(?m)^\s*\|.+\|\s*$|^\s*[-+]{3,}\s*$"
+NAME_PAIR, NAME_PAIR_MARKED = r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+[0-9*†‡§¶]*\b"
+CAPTION_WITHIN = r"(?i)\b(?:Table|Figure|Fig\.)\s*\d+[A-Za-z]?\s*[:.]\s*"
+LINK_TERMS = ("http", "github", "huggingface", "physionet", "link")
 LOCAL_TERMS = ("langchain", "langgraph", "rag", "retrieval", "知识库", "文档", "检索")
 CURRENT_TERMS = ("today", "current", "latest", "news", "weather", "price", "schedule", "现在", "今天", "最新", "新闻", "实时", "天气", "价格", "日程")
 
@@ -159,27 +173,22 @@ def is_bracket_fragment(text: Column) -> Column:
 
 
 def is_code(text: Column) -> Column:
-    pattern = (
-        r"(?im)^\s*(?:def|class|import|from|for|while|if|elif|else|try|except|return)\b|^\s*\{.+:.+\}\s*$|^\s*\[[^\]]+:.+\]\s*$|^\s*[-\w]+:\s*[^,]+$"
-        r"|^\s*(?:SELECT|INSERT|UPDATE|DELETE|CREATE|WITH)\b|^\s*(?:curl|uv|python|pip|docker|git|npm)\b"
-    )
-    return ~is_bracket_fragment(text) & (text.rlike(r"\n(?: {4}|\t)") | text.rlike(pattern))
+    return ~is_bracket_fragment(text) & (text.rlike(r"\n(?: {4}|\t)") | text.rlike(CODE))
 
 
 def is_formula(text: Column) -> Column:
-    pattern = r"\\[a-zA-Z]+|[αβγλμσ∑∫√≈≤≥≠∞]|\b[a-zA-Z]\s*=\s*"
-    return (F.length(text) <= 500) & text.rlike(pattern) & text.rlike(r"[=\\αβγλ∑∫]")
+    return (F.length(text) <= 500) & text.rlike(FORMULA) & text.rlike(FORMULA_SIGN)
 
 
 def is_table(text: Column) -> Column:
-    return text.rlike(r"(?m)^\s*\|.+\|\s*$|^\s*[-+]{3,}\s*$") | (F.regexp_count(text, F.lit("\t")) >= 4)
+    return text.rlike(TABLE_LINE) | (F.regexp_count(text, F.lit("\t")) >= 4)
 
 
 def is_author_line(text: Column) -> Column:
     one = stripped(sanitized(text))
     caption = one.rlike(r"(?i)^(?:Algorithm|Figure|Fig\.|Table)\s*\d+\b")
-    several = one.rlike(r"(?i)\band\b|\b,\b") & one.rlike(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")
-    pair = one.rlike(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+[0-9*†‡§¶]*\b") & (word_count(one) <= 18)
+    several = one.rlike(r"(?i)\band\b|\b,\b") & one.rlike(NAME_PAIR)
+    pair = one.rlike(NAME_PAIR_MARKED) & (word_count(one) <= 18)
     return (one != "") & (F.length(one) <= 220) & ~caption & (F.contains(one, F.lit("@")) | several | pair)
 
 
@@ -195,8 +204,8 @@ def block_kind(text: Column, order: Column) -> Column:
     names = is_author_line(first) | is_affiliation_line(first)
     return (
         F.when(clean == "", "unknown")
-        .when((order == 0) & (F.length(first) <= 220), "title")
-        .when((order <= 6) & names, F.when(is_affiliation_line(first), "affiliation").otherwise("authors"))
+        .when((order == 0) & (F.length(first) <= LONGEST_TITLE), "title")
+        .when((order <= NAMES_WITHIN) & names, F.when(is_affiliation_line(first), "affiliation").otherwise("authors"))
         .when((low == "abstract") | F.lower(first).startswith("abstract"), "abstract")
         .when(low == "references", "reference")
         .when(low == "appendix", "appendix")
@@ -215,7 +224,7 @@ def block_kind(text: Column, order: Column) -> Column:
 
 def is_meaningful(text: Column) -> Column:
     one = stripped(text)
-    return (F.length(one) >= 20) & one.rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")
+    return (F.length(one) >= LEAST_MEANINGFUL) & one.rlike(LETTERS)
 
 
 def is_numeric_heavy(text: Column) -> Column:
@@ -228,7 +237,31 @@ def is_numeric_heavy(text: Column) -> Column:
 
 def is_clear_heading(kind: Column, text: Column) -> Column:
     first = F.coalesce(first_line(sanitized(text)), F.lit(""))
-    return first.rlike(r"^#{1,6}\s+\S+") | (kind == "section_title") | first.rlike(r"^\d+(?:\.\d+)*\s+[A-Z][^\n.]{1,160}$")
+    return first.rlike(r"^#{1,6}\s+\S+") | (kind == "section_title") | first.rlike(NUMBERED_HEADING)
+
+
+def names_kind(text: Column) -> Column:
+    """``affiliation`` or ``authors`` for a line of institutions or names, else null."""
+    return F.when(is_affiliation_line(text), "affiliation").when(is_author_line(text), "authors")
+
+
+def may_be_title(text: Column) -> Column:
+    """Whether a heading or paragraph is fit to be a title where none is marked."""
+    one = stripped(text)
+    return F.length(one).between(12, LONGEST_TITLE) & ~is_numeric_heavy(one) & one.rlike(LETTERS)
+
+
+def settled_kind(kind: Column, text: Column) -> Column:
+    """The few kinds that blocks of a converted document are brought down to."""
+    clean = stripped(sanitized(text))
+    return (
+        F.when(clean == "", F.when(kind.isin("figure", "image_reference"), "image_reference").otherwise("unknown"))
+        .when(is_image_reference(clean), "image_reference")
+        .when(has_markdown_table(clean), "table")
+        .when((kind != "title") & is_clear_heading(kind, clean), "section_title")
+        .when(kind.isin(*SILENT_TYPES, "reference"), kind)
+        .otherwise("paragraph")
+    )
 
 
 def is_table_row(line: Column) -> Column:
@@ -251,11 +284,10 @@ def is_image_reference(text: Column) -> Column:
 def embedded_caption(text: Column) -> Column:
     """(prefix, caption, kind) where a caption follows a link or a note on one line, else null."""
     clean = stripped(sanitized(text))
-    label = r"(?i)\b(?:Table|Figure|Fig\.)\s*\d+[A-Za-z]?\s*[:.]\s*"
-    at = F.regexp_instr(clean, F.lit(label))
+    at = F.regexp_instr(clean, F.lit(CAPTION_WITHIN))
     prefix, caption = stripped(F.substr(clean, F.lit(1), at - 1)), stripped(F.substr(clean, at))
     low = F.lower(prefix)
-    metadata = any_of(low, ("http", "github", "huggingface", "physionet", "link")) | prefix.rlike(r"^(?:\d+\s+[^.]+\.?\s*){1,4}$")
+    metadata = any_of(low, LINK_TERMS) | prefix.rlike(r"^(?:\d+\s+[^.]+\.?\s*){1,4}$")
     kind = F.when(F.lower(caption).startswith("table"), "table_caption").otherwise("figure_caption")
     return F.when((at > 1) & (prefix != "") & metadata, F.struct(prefix.alias("prefix"), caption.alias("caption"), kind.alias("kind")))
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.functions import text as T
 from tarnwell.operators.chunking import documents_by_arxiv
-from tarnwell.operators.parsing import noise
 
 LEAST, TARGET, MOST, TINY, SHARED, SAME = 180, 400, 800, 50, 0.5, 0.92
 UNIT = (
@@ -381,7 +381,7 @@ def flags(u: Unit) -> list[str]:
 
 
 def cleaned(units: list[Unit]) -> list[Unit]:
-    """Tiny units join the one before of their section, else the one behind, else fall away if they are noise."""
+    """Tiny units join the one before of their section, else the one behind."""
     out: list[Unit] = []
     held: Unit | None = None
     for u in units:
@@ -391,7 +391,7 @@ def cleaned(units: list[Unit]) -> list[Unit]:
             out.append(u)
         elif out and not out[-1].visual and out[-1].section == u.section:
             out[-1] = joined([out[-1], u])
-        elif not noise(u.text):
+        else:
             held = u
     return out
 
@@ -400,8 +400,8 @@ Planner = Callable[[list[Source]], list[Unit]]
 
 
 def units_of(document: int, blocks: list[Source], planner: Planner = planned) -> list[Unit]:
-    """All steps for one document. A planner that fails or plans nothing gives way to the rule planner."""
-    usable = [s for s in blocks if s.kind not in LEFT_OUT and s.text.strip() and (s.kind in TABLES or not noise(s.text))]
+    """All steps for one document, without its noise. A planner that fails or plans nothing gives way to the rule planner."""
+    usable = [s for s in blocks if s.kind not in LEFT_OUT and s.text.strip()]
     try:
         units = planner(usable) or planned(usable)
     except Exception:  # noqa: BLE001 - a plugged-in planner may raise anything
@@ -415,6 +415,7 @@ def units_of(document: int, blocks: list[Source], planner: Planner = planned) ->
 def build_units(documents: DataFrame, blocks: DataFrame, planner: Planner = planned) -> DataFrame:
     """Units of every document with blocks, originals first and fused evidence behind them, numbered within the document."""
     text = F.coalesce(F.nullif("markdown_content", F.lit("")), "content")
+    blocks = blocks.where(F.col("block_type").isin(*TABLES) | ~F.coalesce(T.is_noise(text), F.lit(True)))
     placed = blocks.join(documents_by_arxiv(documents), "arxiv_id").select(
         "document_id", "id", "block_type", F.coalesce(F.nullif("section_name", F.lit("")), F.lit("unknown")).alias("section"), "page_number", "order_index", text.alias("text")
     )
@@ -496,10 +497,6 @@ def repaired(chunks: DataFrame) -> DataFrame:
         carried = ""
         for index, content, section, kind in zip(own.chunk_index, own.content, own.section_name, own.chunk_type):
             lines = (content or "").split("\n")
-            while lines and (not lines[0].strip() or noise(lines[0]) and len(lines) > 1):
-                lines.pop(0)
-            while lines and (not lines[-1].strip() or noise(lines[-1]) and len(lines) > 1):
-                lines.pop()
             if carried:
                 lines, carried = [carried, *lines], ""
             if len(lines) > 1 and re.match(r"^##\s+\d+(?:\.\d+)*\.?\s+\S", lines[-1]):
@@ -522,7 +519,12 @@ def repaired(chunks: DataFrame) -> DataFrame:
             out[-1][2] += f"\n{carried}"
         return pd.DataFrame(out, columns=["document_id", "chunk_index", "content", "section_name"])
 
-    given = chunks.select("document_id", F.col("chunk_index").cast("int"), "content", "section_name", F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit(None).cast("string").alias("chunk_type"))
+    # noise lines at either end fall away; of nothing but noise the last line stays
+    lines = F.split("content", "\n")
+    good = F.transform(lines, lambda x: ~T.is_noise(x))
+    first, behind = F.array_position(good, True), F.array_position(F.reverse(good), True)
+    trimmed = F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), (F.size(lines) - behind - first + 2).cast("int")), "\n")).otherwise(F.element_at(lines, -1))
+    given = chunks.select("document_id", F.col("chunk_index").cast("int"), trimmed.alias("content"), "section_name", F.col("chunk_type") if "chunk_type" in chunks.columns else F.lit(None).cast("string").alias("chunk_type"))
     return given.groupBy("document_id").applyInPandas(fix, schema)
 
 

@@ -113,15 +113,21 @@ def test_variants_answers_and_report(spark):
     assert evaluation.report_table([{"a": 1}], [("A", "a"), ("B", "b")]) == "| A | B |\n| --- | ---: |\n| 1 |  |\n"
 
 
-def test_markdown_and_lines():
+def test_markdown_and_lines(spark):
     text = "# Paper Title Here\n\nJane Smith and Joe Miller\n\n## Abstract\n\nShort words here that make a text.\n\n## 1 Introduction\n\nBody one.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n![Figure 1: a plot](x.png)\n\n```\ncode = 1\n```\n\n12\n"
-    found = [(b.kind, b.section) for b in parsing.markdown_blocks(text)]
+    df = spark.createDataFrame([(1, "p", text), (2, "q", ""), (3, "r", None), (1, "p", text)], "id long, arxiv_id string, markdown string")
+    rows = parsing.blocks_of_markdown(df).where("document = 1").orderBy("order_index").collect()
+    assert parsing.blocks_of_markdown(df).where("document > 1").count() == 0 and len(rows) % 2 == 0
+    rows = rows[::2]  # delivered twice, the same blocks twice
+    assert [r.order_index for r in rows] == list(range(len(rows))) and all(len(r.content_hash) == 64 for r in rows)
+    found = [(r.block_type, r.section_name) for r in rows]
     assert found[:6] == [("title", None), ("authors", None), ("section_title", "Abstract"), ("paragraph", "Abstract"), ("section_title", "1 Introduction"), ("paragraph", "1 Introduction")]
-    assert found[6] == ("table", "1 Introduction") and "12" not in [b.content for b in parsing.markdown_blocks(text)]
-    lines = [("A Long Title of a Paper", 1), ("Abstract", 1), ("We show that a line is bro-", 1), ("ken and goes on here.", 1), ("7", 1), ("References", 2), ("[1] A. Author, a work of some length.", 2)]
-    kinds = [(b.kind, b.content) for b in parsing.line_blocks(lines)]
-    assert ("paragraph", "We show that a line is broken and goes on here.") in kinds and kinds[-1][0] == "reference"
-    assert parsing.markdown_blocks("") == [] and parsing.line_blocks([]) == []
+    assert found[6] == ("table", "1 Introduction") and "12" not in [r.content for r in rows]
+    lines = "A Long Title of a Paper\nAbstract\nWe show that a line is bro-\nken and goes on here.\n7\fReferences\n[1] A. Author, a work of some length."
+    df = spark.createDataFrame([(1, "p", lines), (2, "q", None)], "id long, arxiv_id string, text string")
+    rows = parsing.blocks_of_lines(df).orderBy("order_index").collect()
+    kinds = [(r.block_type, r.content, r.page_number) for r in rows]
+    assert ("paragraph", "We show that a line is broken and goes on here.", 1) in kinds and kinds[-1] == ("reference", "References [1] A. Author, a work of some length.", 2)
 
 
 def test_reading_order(spark):

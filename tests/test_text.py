@@ -30,10 +30,7 @@ def test_noise(spark, content, noise):
     ],
 )
 def test_block_kind(spark, content, order, kind):
-    from tarnwell.operators.parsing import kind_of
-
     assert value(spark, text.block_kind(F.col("c"), F.col("o")), c=content, o=order) == kind
-    assert kind_of(content, order) == kind
 
 
 def test_text_pieces(spark):
