@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,41 @@ _JOINTS = frozenset("-./()+")
 LONGEST_FORM = 16
 
 
+_looks: dict[str, tuple[str | None, str | None, bool]] = {}
+
+
+def _look(token: str) -> tuple[str | None, str | None, bool]:
+    """The token's word if it is in lower case, the lower case of its word if that has capitals, and whether it is of digits."""
+    word = token.lstrip()
+    low = word.lower()
+    return (word if word.islower() else None, low if low != word else None, word[-1].isdigit())
+
+
+def _seen(token: str) -> tuple[str | None, str | None, bool]:
+    if len(_looks) > MOST_TYPES:
+        _looks.clear()
+    found = _looks[token] = _look(token)
+    return found
+
+
+@lru_cache(maxsize=65_536)
+def _form_features(form: str) -> tuple[str, ...]:
+    total = sum(int(n) for n in re.findall(r"\d+", form))
+    return ("number=" + form, f"digits={min(total, 20)}", "marks=" + "".join(sorted(set(re.sub(r"\d", "", form)))))
+
+
 def with_forms(own: list[str]) -> list[str]:
     """The tokens with what the rest of their text says of them.
 
     A word with capitals is marked where the text also has it in lower case. Digits carry the form of
     their whole number, lengths of digits with letters and marks, such as ``3-2-4``, and the words before it.
     """
-    low = {t.lstrip() for t in own if t.islower()}
-    out = [t + _COMMON if t.lower() != t and t.lstrip().lower() in low else t for t in own]
-    digits = [i for i, t in enumerate(own) if t[-1].isdigit()]
+    get = _looks.get
+    looks = [get(t) or _seen(t) for t in own]
+    low = {x[0] for x in looks}
+    low.discard(None)
+    out = [t + _COMMON if x[1] in low else t for t, x in zip(own, looks)]
+    digits = [i for i, x in enumerate(looks) if x[2]]
     last, k = len(own) - 1, 0
 
     def joins(i: int, behind: str) -> bool:
@@ -110,8 +137,7 @@ class Features:
         out = ["shape=" + form, "gap=" + ("paragraph" if space.count("\n") > 1 else "line" if "\n" in space else "space" if space else "none")]
         if form in "123456":
             form = number[0] if number else ""
-            total = sum(int(n) for n in re.findall(r"\d+", form))
-            return [*out, "lead=" + word[0], "number=" + form, f"digits={min(total, 20)}", "marks=" + "".join(sorted(set(re.sub(r"\d", "", form)))), *["cue=" + w for w in number[1:]], *["cue1=" + w for w in number[-1:] if len(number) > 1], *["cue2=" + " ".join(number[-2:]) for _ in number[2:3]]]
+            return [*out, "lead=" + word[0], *_form_features(form), *["cue=" + w for w in number[1:]], *["cue1=" + w for w in number[-1:] if len(number) > 1], *["cue2=" + " ".join(number[-2:]) for _ in number[2:3]]]
         out.append("word=" + low)
         if common:
             out += ["common", "common=" + form]
