@@ -1,30 +1,34 @@
 """Noise in text from scanned pages: broken and misread words, running headers, printed page numbers.
 
-Lines are labelled as body, running header, page number or both by a linear conditional model over
-layout features (what a line repeats in its paper, how a number on it follows the page, where it
-stands). Words are judged by what all texts spell: a form is misread if a form that looks like it is
-far more frequent, and a word is broken if its halves are spelled together elsewhere.
+Every line of a block is labelled as body, running header, page number, both, or as one at whose end a
+word is broken, by a linear conditional model over layout features (what a line repeats in its paper, how a
+number on it follows the page, where it stands, how the halves at its end are spelled elsewhere). A form is
+misread if a form that looks like it is far more frequent and it is not at home in text that was never read
+from a page, which runs on without line ends.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.crf import Chain
 from tarnwell.llm.labelled import Writer
 from tarnwell.session import cut
 
-FORMS_AT_ONCE, RATIO, REACH = 400_000, 10, 8
-LABELS = ["O", "header", "number", "both"]
+RATIO, AT_HOME, KNOWN, SEGMENT = 10, 0.2, 1e-5, 1024
+FILTER_BITS, FILTER_SLICES, FLOWING = 1 << 27, 64, 150
+LABELS = ["O", "header", "number", "both", "break"]
 
 # Groups of letters that scanners confuse; each is written as its first member when words are compared.
 MERGED = (("m", "rn"), ("w", "vv"), ("u", "ii"), ("h", "li"), ("d", "cl"))
@@ -99,6 +103,31 @@ def _number(line: str) -> tuple[str, int, str]:
     return "", 0, line
 
 
+def filled_places(text: str) -> list[int]:
+    """Numbers of the lines that are not blank."""
+    return [i for i, line in enumerate(text.split("\n")) if line and not line.isspace()]
+
+
+def cut_lines(lines: list[str], filled: list[int], printed: set[int]) -> list[tuple[int, str, str, str | None]]:
+    """(line, left half, mark, right half or None at the end of the block) of lines that end in a mark behind a word; ``printed`` are lines to look past."""
+    out = []
+    for k, i in enumerate(filled):
+        line = lines[i].rstrip()
+        m = _LEFT.search(line) if line[-1] in _MARKS else None
+        if m and (m[1][-1].isalpha() or m[1][-1] == "†" or m[1][-1] in "0159" and m[1][0].isalpha()):
+            behind = next((j for j in filled[k + 1 :] if j not in printed), None)
+            n = _RIGHT.match(lines[behind]) if behind is not None else None
+            out.append((i, m[1], m[2], n[1] if n else None))
+    return out
+
+
+def cut_features(mark: str, right: str | None, joined: str, halves: str) -> str:
+    """Features of a line that ends in a mark: the mark, the half behind it, whether the word is spelled joined or with the mark elsewhere, whether the halves are words."""
+    side = "none" if right is None else "low" if right[:1].islower() or right[:1].isdigit() or right[:1] == "†" else "other"
+    soft = "cut=" + ("soft" if mark != "-" else "hyphen")
+    return "\t".join((soft, "right=" + side, "joined=" + joined, "halves=" + halves, f"{joined}/{halves}/{side}"))
+
+
 def plausible_lines(text: str, block_type: str | None) -> list[tuple[int, str, str, int, str]]:
     """(line, key, form, value, layout features) of lines that may be printed above or below the text."""
     lines = text.split("\n")
@@ -146,6 +175,8 @@ def plausible_lines(text: str, block_type: str | None) -> list[tuple[int, str, s
 
 def _hints(features: str, form: str, page: int | None, pages: int, papers: int, titled: bool, follows: int) -> str:
     """All features of a line, with what its paper and all papers say of it. ``follows``: 2 the number follows the page, 1 only its form is the paper's, 0 neither."""
+    if form.endswith("roman") and not follows:  # letters are a number only where they follow the page
+        features, form = features.replace("form=" + form, "form=none"), ""
     out = [features, "first page" if page == 1 else "later page", f"pages={min(pages, 4)}", f"papers={'many' if papers >= 3 else 'one'}"]
     if titled:
         out.append("titled")
@@ -163,7 +194,7 @@ class Pages:
     def __init__(self, seed: int = 7) -> None:
         self.w = Writer([], [], seed)
         self.r = self.w.r
-        words = (("Annals of", "Letters on", "Studies in", "Transactions on", "Archive for", "Quarterly of"), ("Page Analysis", "Applied Retrieval", "Ranking Theory", "Textual Evidence", "Document Systems"))
+        words = (("Journal of", "Proceedings of the Society for", "Bulletin of", "Review of", "Advances in", "Communications in", "Annals of"), ("Marine Biology", "Social History", "Crop Science", "Number Theory", "Economic Policy", "Soil Mechanics"))
         self.journals = [f"{a} {b}" for a in words[0] for b in words[1]][::2]
 
     def _sentence(self) -> str:
@@ -183,6 +214,31 @@ class Pages:
                 line = f"{line} {word}".strip()
         return [*lines, line]
 
+    def _broken(self, lines: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        """Lines some of which end in a broken word, or in a mark that is part of a word's spelling."""
+        r, out, carry = self.r, [], ""
+        for k, (line, _) in enumerate(lines):
+            line, label = carry + line, "O"
+            carry = ""
+            word = line.split(" ")[-1]
+            chance = r.random()
+            if chance < 0.16 and word.isalpha() and len(word) > 5 and (k < len(lines) - 1 or chance < 0.05):
+                at = r.randint(2, len(word) - 2)
+                line, carry, label = line[: len(line) - len(word) + at] + r.choice("----¬\xad"), word[at:] + " ", "break"
+            elif chance > 0.93 and k < len(lines) - 1:
+                line, carry = f"{line} {self.w.coined(1).lower()}-", f"{r.choice((self.w.coined(1).lower(), self.w.coined(1)))} "
+            out.append((line, label))
+        return out
+
+    def _evidence(self, broken: bool, right: str | None) -> str:
+        """How the halves of a line's end might be spelled elsewhere."""
+        r = self.r
+        if right is None:
+            return cut_features("-", right, "none", "unknown" if broken == (r.random() < 0.95) else "known")
+        if broken:
+            return cut_features("-", right, *r.choice((("more", "unknown"),) * 8 + (("more", "known"), ("none", "unknown"), ("none", "unknown"))))
+        return cut_features("-", right, *r.choice((("less", "known"),) * 6 + (("less", "unknown"), ("none", "known"), ("none", "known"))))
+
     def paper(self, number: int) -> list[dict]:
         r, w = self.r, self.w
         title = " ".join(w.coined(2).lower() if r.random() < 0.5 else r.choice(("the", "of", "page", "and", "retrieval", "sparse", "scoring", "for")) for _ in range(r.randint(5, 11))).capitalize()
@@ -214,7 +270,7 @@ class Pages:
         add("title", [(title, "O")], 1)
         add("authors", [(f"{w.coined(3)} {w.coined(3)}, {w.coined(2)} {w.coined(3)}", "O")] if r.random() < 0.6 else [(f"{w.coined(3)} {w.coined(3)}", "O")], 1)
         if r.random() < 0.7:
-            add("affiliation", [(f"{r.choice(('Institute of Layout Studies', 'Department of Page Analysis', 'School of Archive Studies', 'Letters Laboratory', f'{w.coined(2)} Institute of Applied Retrieval'))}, {r.choice((w.town(), 'Norhaven', 'Dorvale'))}", "O")], 1)
+            add("affiliation", [(f"{r.choice(('Institute of Marine Biology', 'Department of Social History', 'School of Nursing', 'Crop Laboratory', f'{w.coined(2)} Institute of Economic Policy'))}, {w.town()}", "O")], 1)
         if r.random() < 0.3:
             add("footnote", [(f"{r.randint(1, 9)} {self._sentence()[:-1]}", "O")], 1)
         for page in range(1, pages + 1):
@@ -245,6 +301,8 @@ class Pages:
                     add("code", [(f"def {w.coined(2).lower()}(x, k={r.randint(1, 99)}):", "O"), (f"    {w.coined(2).lower()} = table[{r.randint(1, 99)}]", "O"), ("    return x", "O")], page)
                 else:
                     lines = [(line, "O") for line in (self._wrapped(r.randint(2, 7), r.choice((60, 70, 75))) if scanned or r.random() < 0.3 else [self._sentence() + " " + self._sentence()])]
+                    if scanned:
+                        lines = self._broken(lines)
                     if marks:
                         at = r.choice((0, len(lines), r.randrange(len(lines) + 1)))
                         lines[at:at] = marks
@@ -254,7 +312,7 @@ class Pages:
                 add("paragraph", marks, page)
         return blocks
 
-    def examples(self, papers: int = 560) -> list[tuple[list[str], list[int]]]:
+    def examples(self, papers: int = 420) -> list[tuple[list[str], list[int]]]:
         rows, keys, everywhere, numbers = [], defaultdict(set), defaultdict(set), defaultdict(lambda: defaultdict(set))
         forms = defaultdict(lambda: defaultdict(set))
         for n in range(papers):
@@ -273,18 +331,26 @@ class Pages:
             n = block["paper"]
             best = max(numbers[n], key=lambda shift: (len(numbers[n][shift]), shift), default=None)
             mode = best if best is not None and len(numbers[n][best]) >= 2 else None
-            tokens, labels = [], []
+            lines, filled = block["text"].split("\n"), filled_places(block["text"])
+            tokens = {i: plain_line(k, len(filled)) for k, i in enumerate(filled)}
             for i, key, form, value, features in own:
                 follows = 0
                 if mode is not None and form:
                     follows = 2 if block["page"] and value - block["page"] == mode else 1 if not block["page"] and form in forms[n][mode] else 0
-                tokens.append(_hints(features, form, block["page"], max(1, len(keys[n, key])), max(1, len(everywhere[key])), is_titled(key, block["title"], block["kind"]), follows))
-                labels.append(LABELS.index(block["labels"][i]))
+                tokens[i] = _hints(features, form, block["page"], max(1, len(keys[n, key])), max(1, len(everywhere[key])), is_titled(key, block["title"], block["kind"]), follows)
+            for i, _, mark, right in cut_lines(lines, filled, {i for i, *_ in own}):
+                evidence = self._evidence(block["labels"][i] == "break", right)
+                tokens[i] = evidence if mark == "-" else evidence.replace("cut=hyphen", "cut=soft")
             if tokens:
-                out.append((tokens, labels))
+                out.append((list(tokens.values()), [LABELS.index(block["labels"][i]) for i in tokens]))
         return out
 
 
+def plain_line(place: int, lines: int) -> str:
+    """Features of a line that nothing sets apart."""
+    return "plain\tplain=" + ("alone" if lines == 1 else "first" if not place else "last" if place == lines - 1 else "middle")
+
+
 def is_titled(key: str, title: str | None, kind: str | None) -> bool:
     """Whether a line holds the beginning of its paper's title, and is not the title itself."""
     start = line_key(title or "")
@@ -296,7 +362,7 @@ _model: list[Chain] = []
 
 def line_model() -> Chain:
     if not _model:
-        _model.append(Chain(LABELS, lambda token: token.split("\t") if token else ["edge"], reach=1).fit(Pages().examples(), epochs=40, batch=128, rate=0.2, decay=2e-5, few=3))
+        _model.append(Chain(LABELS, lambda token: token.split("\t") if token else ["edge"], reach=1).fit(Pages().examples(), epochs=30, batch=128, rate=0.2, decay=2e-5, few=3))
     return _model[0]
 
 
@@ -317,26 +383,34 @@ def _unbroken(text: str) -> str:
     return _BROKEN.sub(" ", text) if any(m + "\n" in text for m in _MARKS) or "- \n" in text else text
 
 
+def is_flowing(text: str) -> bool:
+    """Whether a text was never read from a page: it is long and runs on without line ends."""
+    return len(text) >= FLOWING and "\n" not in text.strip()
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each task's blocks: word forms with counts, plausible lines, words cut at line ends, first words of each block."""
+    """Of each task's blocks: word forms with counts, plausible lines, lines that end in a mark, first words of each block."""
     counts: Counter[str] = Counter()
-    rows: list[list] = [[] for _ in range(11)]
+    flowing: Counter[str] = Counter()
+    rows: list[list] = [[] for _ in range(13)]
 
     def put(*row) -> None:
         for column, value in zip(rows, row):
             column.append(value)
 
     def put_words() -> None:
-        for w, n in list(counts.items()):
-            if "-" in w:
-                for part in w.split("-"):
-                    counts[part] += n
+        for counted in (counts, flowing):
+            for w, n in list(counted.items()):
+                if "-" in w:
+                    for part in w.split("-"):
+                        counted[part] += n
         for w, n in counts.items():
-            put("word", None, None, None, None, None, w, outline(w), n, None, None)
+            put("word", None, None, None, None, None, None, flowing.get(w, 0), w, outline(w), n, None, None)
         counts.clear()
+        flowing.clear()
 
     def batch_of() -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], _SURVEY_NAMES)
         for c in rows:
             c.clear()
@@ -347,19 +421,20 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             text = _lettered(text)
-            counts.update(_WORD.findall(_unbroken(text).lower()))
-            for i, key, form, value, features in plausible_lines(text, kind):
-                put("line", block, paper, page, order, i, key, form, value, features, None)
-            lines = text.split("\n")
-            filled = [i for i, line in enumerate(lines) if line and not line.isspace()]
-            heads = [f"{i} {m[1]}" for i in filled[:3] if (m := _RIGHT.match(lines[i]))]
-            put("edge", block, paper, page, order, len(filled), kind or "", None, None, None, heads)
-            for k, i in enumerate(filled):
-                line = lines[i].rstrip()
-                m = _LEFT.search(line) if line[-1] in _MARKS else None
-                if m and (m[1][-1].isalpha() or m[1][-1] == "†" or m[1][-1] in "0159" and m[1][0].isalpha()):
-                    near = [f"{j} {n[1]}" for j in filled[k + 1 : k + 4] if (n := _RIGHT.match(lines[j]))]
-                    put("cut", block, paper, page, order, i, m[1], m[2], len(filled) - k - 1, None, near)
+            found = _WORD.findall(_unbroken(text).lower())
+            counts.update(found)
+            if is_flowing(text):
+                flowing.update(found)
+            lines, filled = text.split("\n"), filled_places(text)
+            place = {i: k for k, i in enumerate(filled)}
+            own = plausible_lines(text, kind)
+            for i, key, form, value, features in own:
+                put("line", block, paper, page, order, i, place[i], len(filled), key, form, value, features, None)
+            printed = {i for i, *_ in own}
+            head = next((m[1] for i in filled if i not in printed and (m := _RIGHT.match(lines[i]))), None)
+            put("edge", block, paper, page, order, None, None, len(filled), kind or "", None, None, None, head)
+            for i, left, mark, right in cut_lines(lines, filled, printed):
+                put("cut", block, paper, page, order, i, place[i], len(filled), left, mark, None, None, right)
         if len(counts) > 200_000:
             put_words()
         yield batch_of()
@@ -367,8 +442,23 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
-_SURVEY_NAMES = ["what", "block", "paper", "page", "ord", "line", "key", "form", "value", "features", "near"]
-_SURVEY = "what string, block long, paper long, page int, ord int, line int, key string, form string, value long, features string, near array<string>"
+_SURVEY_NAMES = ["what", "block", "paper", "page", "ord", "line", "place", "of", "key", "form", "value", "features", "near"]
+_SURVEY = "what string, block long, paper long, page int, ord int, line int, place int, of long, key string, form string, value long, features string, near string"
+_NO_RUNNING = ("figure_caption", "table_caption", "table", "table_like", "footnote", "section_title", "title", "authors", "affiliation", "page_number", "metadata", "formula", "code")
+
+
+def following(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` (``block``, ``paper``, ``ord``) with the nearest ``value`` that is not null behind each in its paper, however far.
+
+    Within segments of ``SEGMENT`` places by a window; over their ends by the first value of each segment, so a paper is never sorted as a whole.
+    """
+    rows = rows.withColumn("segment", F.floor(F.col("ord") / SEGMENT)).withColumn("own", value)
+    inside = Window.partitionBy("paper", "segment").orderBy(F.desc("ord"), F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("paper", "segment").agg(F.min_by("own", F.when(F.col("own").isNotNull(), F.struct("ord", "block"))).alias("first"))
+    behind = Window.partitionBy("paper").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("paper", "segment", F.last("first", ignorenulls=True).over(behind).alias("later"))
+    found = rows.withColumn("inside", F.last("own", ignorenulls=True).over(inside)).join(firsts, ["paper", "segment"], "left")
+    return found.withColumn(name, F.coalesce("inside", "later")).drop("segment", "own", "inside", "later")
 
 
 class Survey:
@@ -381,17 +471,22 @@ class Survey:
         self.given = self.given.where(F.col("block").isNotNull() & (F.length("text") > 0))
         self.titles = titles
         self.rows = cut(self.given.mapInArrow(_survey, _SURVEY))
-        self.words = cut(self.rows.where("what = 'word'").groupBy(F.col("key").alias("form"), F.col("form").alias("outline")).agg(F.sum("value").alias("n")))
+        self.words = cut(self.rows.where("what = 'word'").groupBy(F.col("key").alias("form"), F.col("form").alias("outline")).agg(F.sum("value").alias("n"), F.sum("of").alias("flowing")))
+        self.total = self.words.agg(F.sum("n").alias("all_n"), F.sum("flowing").alias("all_flowing"))  # one row
 
     def bad_forms(self) -> DataFrame:
-        """``form`` and ``right`` of misread words: a form that looks alike is at least ``RATIO`` times as frequent."""
+        """``form`` and ``right`` of misread words: a form that looks alike is at least ``RATIO`` times as frequent, and the form is rare in text without line ends.
+
+        A word that is as much at home there (``AT_HOME`` of its rate elsewhere) is a word of its own, whatever it looks like.
+        """
         spelled = self.words.where(~F.col("form").contains("-") & (F.length("form") > 1) & F.col("form").rlike(r"\p{L}|†"))
         best = spelled.groupBy("outline").agg(F.max_by("form", F.struct("n", "form")).alias("right"), F.max("n").alias("most"), F.count("*").alias("forms"))
-        both = spelled.join(best.where("forms > 1"), "outline")
-        return both.where((F.col("form") != F.col("right")) & (F.col("most") >= RATIO * F.col("n")) & ~F.col("right").rlike(r"\d")).select("form", "right")
+        both = spelled.join(best.where("forms > 1"), "outline").crossJoin(F.broadcast(self.total))
+        read = F.greatest(F.col("all_n") - F.col("all_flowing"), F.lit(1))
+        at_home = (F.col("flowing") > 0) & (F.col("flowing") * read >= AT_HOME * (F.col("n") - F.col("flowing")) * F.greatest("all_flowing", F.lit(1)))
+        return both.where((F.col("form") != F.col("right")) & (F.col("most") >= RATIO * F.col("n")) & ~F.col("right").rlike(r"\d") & ~at_home).select("form", "right")
 
-    def lines(self) -> DataFrame:
-        """``block``, ``line`` and ``label`` of printed headers and page numbers."""
+    def _line_features(self) -> DataFrame:
         lines = self.rows.where("what = 'line'").drop("what", "near").dropDuplicates(["block", "line"])
         lines = cut(lines)
         keyed = lines.where(F.length("key") >= 8)
@@ -409,8 +504,45 @@ class Survey:
             joined = joined.withColumn("title", F.lit(None).cast("string"))
         follows = F.when(F.col("value") - F.col("page") == F.col("mode.shift"), 2)
         follows = follows.when(F.col("page").isNull() & F.array_contains("mode.forms", F.col("form")), 1).otherwise(0)
-        wide = joined.select("block", "line", "page", "key", "form", "features", F.coalesce("pages", F.lit(1)).alias("pages"), F.coalesce("papers", F.lit(1)).alias("papers"), "title", follows.alias("follows"))
+        return joined.select("block", "line", "place", "of", "page", "key", "form", "features", F.coalesce("pages", F.lit(1)).alias("pages"), F.coalesce("papers", F.lit(1)).alias("papers"), "title", follows.alias("follows"))
+
+    def cuts(self) -> DataFrame:
+        """``block``, ``line``, ``left``, ``mark``, ``right``, ``next`` (the block the word goes on in), ``joined``, ``word`` (as spelled) and evidence of lines that end in a mark.
+
+        At the end of a block the word goes on in the next block of the paper with running text: captions, tables and notes may lie between, however many.
+        """
+        found = self.rows.where("what = 'cut'").select("block", "paper", "ord", "line", "place", "of", F.col("key").alias("left"), F.col("form").alias("mark"), F.col("near").alias("right")).dropDuplicates(["block", "line"])
+        edges = self.rows.where("what = 'edge'").select("block", "paper", "ord", F.col("key").alias("kind"), "near").dropDuplicates(["block"])
+        goes_on = F.when(F.col("near").isNotNull() & ~F.col("kind").isin(*_NO_RUNNING), F.struct("block", "near"))
+        ahead = following(edges, goes_on, "behind").select("block", "behind")
+        at_end = found.where("right IS NULL").drop("right").join(ahead, "block", "left").withColumn("right", F.col("behind.near")).withColumn("next", F.col("behind.block")).drop("behind")
+        found = cut(found.where("right IS NOT NULL").withColumn("next", F.lit(None).cast("long")).unionByName(at_end))
+        left, right = F.lower("left"), F.lower(F.coalesce("right", F.lit("")))
+        keys = F.array(
+            F.struct(F.lit("joined").alias("role"), F.concat(left, right).alias("form")),
+            F.struct(F.lit("kept").alias("role"), F.concat(left, F.lit("-"), right).alias("form")),
+            F.struct(F.lit("left").alias("role"), F.element_at(F.split(left, "-"), -1).alias("form")),
+            F.struct(F.lit("right").alias("role"), F.split(right, "-")[0].alias("form")),
+        )
+        asked = found.select("block", "line", F.inline(keys)).withColumn("outline", outline_column(F.col("form")))
+        best = self.words.groupBy("outline").agg(F.sum("n").alias("n"), F.max_by("form", F.struct("n", "form")).alias("word"))
+        best = best.join(asked.select("outline").distinct(), "outline", "left_semi")
+        told = asked.join(best, "outline", "left").groupBy("block", "line")
+        told = told.pivot("role", ["joined", "kept", "left", "right"]).agg(F.first(F.coalesce("n", F.lit(0))).alias("n"), F.first("word").alias("word"))
+        both = found.join(told, ["block", "line"]).crossJoin(F.broadcast(self.total))
+        known = F.least("left_n", F.when(F.col("right").isNull(), F.col("left_n")).otherwise(F.col("right_n"))) >= F.greatest(F.lit(2), KNOWN * F.col("all_n"))
+        spelled = F.when((F.col("joined_n") == 0) & (F.col("kept_n") == 0) | F.col("right").isNull(), "none").when(F.col("joined_n") > F.col("kept_n"), "more").otherwise("less")
+        word = F.when((F.col("joined_n") > F.greatest("left_n", F.col("kept_n"))) | (F.col("joined_n") >= F.greatest(F.lit(2), KNOWN * F.col("all_n"))), F.col("joined_word"))
+        return both.select(
+            "block", "line", "place", "of", "left", "mark", "right", "next", F.concat("left", F.coalesce("right", F.lit(""))).alias("joined"), word.alias("word"), spelled.alias("spelled"), F.when(known, "known").otherwise("unknown").alias("halves")
+        )
+
+    def labels(self) -> tuple[DataFrame, DataFrame]:
+        """``block``, ``line``, ``label`` of all lines that are not plain body, and the rows of ``cuts`` whose line is labelled as one with a broken word."""
         shared = self.spark.sparkContext.broadcast(_portable(line_model()))
+        cuts = cut(self.cuts())
+        ends = cuts.select("block", "line", "place", "of", F.lit(None).cast("int").alias("page"), F.col("mark").alias("key"), F.lit("cut").alias("form"), F.concat_ws("\t", F.coalesce("right", F.lit("")), "spelled", "halves").alias("features"), *[F.lit(None).cast(k).alias(n) for n, k in (("pages", "long"), ("papers", "long"), ("title", "string"), ("follows", "int"))])
+        wide = self._line_features().unionByName(ends)
 
         def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chain = _restored(shared.value)
@@ -424,69 +556,59 @@ class Survey:
             if held is not None and len(held):
                 yield _labelled(chain, held)
 
-        return wide.repartition("block").sortWithinPartitions("block", "line").mapInPandas(label, "block long, line int, label string")
+        labels = cut(wide.repartition("block").sortWithinPartitions("block", "line").mapInPandas(label, "block long, line int, label string").where("label <> 'O'"))
+        return labels.where("label <> 'break'"), cuts.join(labels.where("label = 'break'").select("block", "line"), ["block", "line"], "left_semi")
 
     def misread(self, bad: DataFrame) -> DataFrame:
-        """``block``, ``form``, ``right`` of misread words in blocks; forms are sent to the tasks in blocks of ``FORMS_AT_ONCE``."""
-        total = bad.count()
-        parts = max(1, -(-total // FORMS_AT_ONCE))
-        found = None
-        for part in range(parts):
-            rows = bad.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == part).collect()
-            shared = self.spark.sparkContext.broadcast({r[0]: r[1] for r in rows})
-
-            def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                wrong = shared.value
-                known = wrong.keys()
-                for batch in batches:
-                    out: list[tuple[int, str, str]] = []
-                    for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                        own = known & set(_FORM.findall(_unbroken(_lettered(text)).lower()))
-                        out += [(block, w, wrong[w]) for w in own]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[k] for r in out], pa.string()) for k in (1, 2)]], ["block", "form", "right"])
-
-            one = self.given.select("block", "text").mapInArrow(search, "block long, form string, right string")
-            found = one if found is None else found.unionByName(one)
-        return found
-
-    def broken(self, labels: DataFrame) -> DataFrame:
-        """``block``, ``line``, ``left``, ``mark``, ``right``, ``joined`` (the word as spelled), ``word`` of words broken at line or block ends."""
-        marked = labels.where("label <> 'O'").groupBy("block").agg(F.collect_set("line").alias("printed"))
-        cuts = self.rows.where("what = 'cut'").select("block", "paper", "ord", "line", F.col("key").alias("left"), F.col("form").alias("mark"), F.col("value").alias("behind"), "near")
-        cuts = cuts.dropDuplicates(["block", "line"]).join(marked, "block", "left")
-        first = lambda near: F.filter(near, lambda x: ~F.coalesce(F.array_contains(F.col("printed"), F.split(x, " ")[0].cast("int")), F.lit(False)))
-        cuts = cuts.where(~F.coalesce(F.array_contains("printed", F.col("line")), F.lit(False))).withColumn("own", F.get(F.split(F.get(first(F.col("near")), 0), " "), 1)).drop("printed")
-        inside = cuts.where("own IS NOT NULL").select("block", "line", "left", "mark", F.col("own").alias("right"), F.lit(None).cast("long").alias("next"))
-        # at the end of a block the word goes on in the next block of the paper that has text of its own
-        at_end = cuts.where("own IS NULL").select("block", "line", "left", "mark", "paper", F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + REACH)).alias("ord"))
-        edges = self.rows.where("what = 'edge'").select(F.col("block").alias("next"), "paper", "ord", F.col("key").alias("next_kind"), "near", F.col("line").alias("lines")).dropDuplicates(["next"])
-        after = at_end.join(edges, ["paper", "ord"]).join(marked.withColumnRenamed("block", "next"), "next", "left").withColumn("right", F.get(F.split(F.get(first(F.col("near")), 0), " "), 1))
-        # a paragraph goes on in a paragraph: captions, tables and notes may lie between
-        going_on = F.col("right").isNotNull() & ~F.col("next_kind").isin("figure_caption", "table_caption", "table", "table_like", "footnote", "section_title", "title", "authors", "affiliation", "page_number", "metadata", "formula", "code")
-        after = after.where(going_on).groupBy("block", "line").agg(F.min_by(F.struct("right", "next"), "ord").alias("r"))
-        ends = cuts.where("own IS NULL").join(after, ["block", "line"], "left").select("block", "line", "left", "mark", F.col("r.right").alias("right"), F.col("r.next").alias("next"))
-        found = cut(inside.unionByName(ends))
-        left, right = F.lower("left"), F.lower(F.coalesce("right", F.lit("")))
-        keys = F.array(
-            F.struct(F.lit("joined").alias("role"), F.concat(left, right).alias("form")),
-            F.struct(F.lit("kept").alias("role"), F.concat(left, F.lit("-"), right).alias("form")),
-            F.struct(F.lit("left").alias("role"), F.element_at(F.split(left, "-"), -1).alias("form")),
-            F.struct(F.lit("right").alias("role"), F.split(right, "-")[0].alias("form")),
-        )
-        asked = found.select("block", "line", F.inline(keys)).withColumn("outline", outline_column(F.col("form")))
-        best = self.words.groupBy("outline").agg(F.sum("n").alias("n"), F.max_by("form", F.struct("n", "form")).alias("word"))
-        best = best.join(asked.select("outline").distinct(), "outline", "left_semi")
-        told = asked.join(best, "outline", "left").groupBy("block", "line")
-        told = told.pivot("role", ["joined", "kept", "left", "right"]).agg(F.first(F.coalesce("n", F.lit(0))).alias("n"), F.first("word").alias("word"))
-        both = found.join(told, ["block", "line"])
-        known = F.least("left_n", "right_n")
-        broken = (
-            F.when(F.col("mark") != "-", True)
-            .when(F.col("right").isNull(), F.col("left_n") < 20)
-            .when((F.col("joined_n") > 0) | (F.col("kept_n") > 0), F.col("joined_n") > F.col("kept_n"))
-            .otherwise((known < 20) & F.col("right").rlike(r"^[\p{Ll}\d†]"))
-        )
-        return both.where(broken).select("block", "line", "left", "mark", "right", "next", F.concat("left", F.coalesce("right", F.lit(""))).alias("joined"), F.when(F.col("joined_n") >= 20, F.col("joined_word")).alias("word"))
+        """``block``, ``form``, ``right`` of misread words in blocks.
+
+        One pass over the texts: a filter of ``FILTER_BITS`` bits, of the same size however many forms there are, tells what may be one of them; a join tells what is.
+        """
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = [_places_of(form) for batch in batches for form in batch.column(0).to_pylist()]
+            if places:
+                places = np.unique(np.array(places, np.int64))
+                size = FILTER_BITS // FILTER_SLICES
+                for k in np.unique(places // size).tolist():
+                    bits = np.zeros(size, bool)
+                    bits[places[places // size == k] % size] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["slice", "bits"])
+
+        def united(group: pa.Table) -> pa.Table:
+            bits = np.zeros(FILTER_BITS // FILTER_SLICES // 8, np.uint8)
+            for part in group.column("bits").to_pylist():
+                bits |= np.frombuffer(zlib.decompress(part), np.uint8)
+            return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+        parts = bad.select("form").mapInArrow(slices, "slice int, bits binary").groupBy("slice").applyInArrow(united, "slice int, bits binary")
+        shared = self.spark.sparkContext.broadcast(dict(map(tuple, parts.collect())))  # FILTER_SLICES rows, FILTER_BITS bits at most
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size = FILTER_BITS // FILTER_SLICES // 8
+            table = {k: np.frombuffer(zlib.decompress(bits), np.uint8) for k, bits in shared.value.items()}
+            known: dict[str, bool] = {}
+
+            def may_be(form: str) -> bool:
+                at = _places_of(form)
+                part = table.get(at // (8 * size))
+                found = known[form] = part is not None and bool(part[at // 8 % size] >> (7 - at % 8) & 1)
+                return found
+
+            for batch in batches:
+                if len(known) > 1_000_000:
+                    known.clear()
+                out: list[tuple[int, str]] = []
+                for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own = set(_FORM.findall(_unbroken(_lettered(text)).lower()))
+                    out += [(block, w) for w in own if (known[w] if w in known else may_be(w))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], ["block", "form"])
+
+        return self.given.select("block", "text").mapInArrow(search, "block long, form string").join(bad, "form").select("block", "form", "right")
+
+
+def _places_of(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form) % FILTER_BITS
 
 
 _FORM = re.compile(r"[\w†]+")
@@ -503,22 +625,34 @@ def _restored(parts: tuple) -> Chain:
 
 
 def _labelled(chain: Chain, rows: pd.DataFrame) -> pd.DataFrame:
+    """Labels of the given lines; all lines of their blocks are in the sequence, those not given as plain ones."""
     if not len(rows):
         return pd.DataFrame({"block": [], "line": [], "label": []})
-    tokens = [_hints(r.features, r.form, None if r.page != r.page else int(r.page), int(r.pages), int(r.papers), is_titled(r.key, r.title, None), int(r.follows)) for r in rows.itertuples()]
-    types: dict[str, int] = {"": 0}
+    tokens = []
+    for r in rows.itertuples():
+        if r.form == "cut":
+            right, spelled, halves = r.features.split("\t")
+            tokens.append(cut_features(r.key, right or None, spelled, halves))
+        else:
+            tokens.append(_hints(r.features, r.form, None if r.page != r.page else int(r.page), int(r.pages), int(r.papers), is_titled(r.key, r.title, None), int(r.follows)))
+    types = {t: i for i, t in enumerate(("", *(plain_line(k, n) for k, n in ((0, 1), (0, 3), (1, 3), (2, 3)))))}
     coded = np.array([types.setdefault(t, len(types)) for t in tokens], np.int64)
     table = chain.table(list(types))
-    block = rows.block.to_numpy()
+    block, of = rows.block.to_numpy(), rows.of.to_numpy().astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     run = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
-    place = np.arange(len(coded)) + run + 1
-    padded = np.zeros(len(coded) + len(starts) + 1, np.int64)
-    padded[place] = coded
-    emit = chain.emissions(table, padded, place - 1)
-    labels = chain.decode(emit, starts, np.diff(np.append(starts, len(coded))))
-    letters = (rows.form.to_numpy() == "roman") & (rows.follows.to_numpy() == 0)  # a lone letter is a number only where it follows the page
-    return pd.DataFrame({"block": block, "line": rows.line.to_numpy(), "label": np.array(LABELS, object)[np.where(letters, 0, labels)]})
+    lengths = of[starts]
+    begins = np.cumsum(lengths) - lengths
+    sequence = np.full(lengths.sum(), 3)
+    sequence[begins], sequence[begins + lengths - 1] = 2, 4
+    sequence[begins[lengths == 1]] = 1
+    at = begins[run] + rows.place.to_numpy().astype(np.int64)
+    sequence[at] = coded
+    place = np.arange(len(sequence)) + np.repeat(np.arange(len(starts)), lengths) + 1
+    padded = np.zeros(len(sequence) + len(starts) + 1, np.int64)
+    padded[place] = sequence
+    labels = chain.decode(chain.emissions(table, padded, place - 1), begins, lengths)[at]
+    return pd.DataFrame({"block": block, "line": rows.line.to_numpy(), "label": np.array(LABELS, object)[labels]})
 
 
 NAMES = {"block": "id", "paper": "paper_id", "kind": "block_type", "page": "page_number", "order": "order_index", "text": "content"}
@@ -570,14 +704,14 @@ def clean_paragraphs(blocks: DataFrame, papers: DataFrame | None = None, names:
     """``paper``, ``place``, ``paragraph`` (its first block), ``blocks``, ``kind``, ``text``: the clean paragraphs of each paper in reading order.
 
     Printed lines fall away, words are mended, and a paragraph that breaks off is joined with the
-    next block of running text (within ``REACH`` places, captions and tables between them) where the
+    next block of running text (captions and tables may lie between them) where the
     word or the sentence goes on. Blocks of one id count once; blocks without text of their own
     have no paragraph. Whole papers are never gathered: blocks are matched by (paper, place), and
     the chains of joined blocks are followed by pointer jumping.
     """
     survey = Survey(blocks, _titles(papers), names)
-    labels = cut(survey.lines().where("label <> 'O'"))
-    broken = cut(survey.broken(labels))
+    labels, broken = survey.labels()
+    broken = cut(broken)
     fixes = survey.misread(cut(survey.bad_forms()))
     ends = broken.where("word IS NOT NULL").select("block", F.lower("joined").alias("form"), F.col("word").alias("right")).where("form <> right")
     fixes = fixes.unionByName(ends).dropDuplicates(["block", "form"]).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("form", "right"))).alias("fixes"))
@@ -595,9 +729,8 @@ def clean_paragraphs(blocks: DataFrame, papers: DataFrame | None = None, names:
     whole = cut(columns.mapInPandas(mend, "block long, paper long, ord int, kind string, next long, text string").where("text <> ''"))
     running = whole.where(F.col("kind").isin("paragraph", "abstract", "content_block", "unknown"))
     # where a block breaks off, the next running text of the paper that begins small goes on
-    open_end = running.where(F.col("next").isNull() & ~F.col("text").rlike(r"[.!?:;。！？)\]\"”]\s*$")).select(F.col("block").alias("before"), "paper", F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + REACH)).alias("ord"))
-    behind = open_end.join(running.select("block", "paper", "ord", F.col("text").rlike(r"^[\p{Ll}\d(]").alias("small")), ["paper", "ord"])
-    behind = behind.groupBy("before").agg(F.min_by(F.struct("block", "small"), F.struct("ord", "block")).alias("n")).where("n.small").select("before", F.col("n.block").alias("block"))
+    ends = running.select("block", "paper", "ord", (F.col("next").isNull() & ~F.col("text").rlike(r"[.!?:;。！？)\]\"”]\s*$")).alias("open"), F.col("text").rlike(r"^[\p{Ll}\d(]").alias("small"))
+    behind = following(ends, F.struct("block", "small"), "n").where("open AND n.small").select(F.col("block").alias("before"), F.col("n.block").alias("block"))
     links = whole.where("next IS NOT NULL").select(F.col("block").alias("before"), F.col("next").alias("block")).unionByName(behind)
     links = links.join(whole.select("block"), "block", "left_semi")
     heads = cut(links.groupBy("block").agg(F.min("before").alias("head")))
@@ -623,8 +756,7 @@ def find_noise(blocks: DataFrame, papers: DataFrame | None = None, names: dict[s
     of any size is spread by line, by (paper, key) and by block; nothing gathers a whole paper.
     """
     survey = Survey(blocks, _titles(papers), names)
-    labels = cut(survey.lines().where("label <> 'O'"))
-    broken = cut(survey.broken(labels))
+    labels, broken = survey.labels()
     bad = cut(survey.bad_forms())
     found = labels.select("block", F.when(F.col("label") == "both", F.array(F.lit("header"), F.lit("page_number"))).when(F.col("label") == "header", F.array(F.lit("header"))).otherwise(F.array(F.lit("page_number"))).alias("kinds"))
     found = found.select("block", F.explode("kinds").alias("kind"))

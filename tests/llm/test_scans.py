@@ -63,3 +63,42 @@ def test_signs_before_groups(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert (1, "ocr") in {(r.block, r.kind) for r in scans.find_noise(df).collect()}
     assert {r.paragraph: r.text for r in scans.clean_paragraphs(df).collect()}[1] == "The baseline model reads every cluster of the model."
+
+
+def test_real_words_that_look_alike_survive(spark):
+    """A rare word that looks like a frequent one is left alone where text that was never read from a page has it too."""
+    often = "The farmer had an ear of corn and did eat it, he had a clear view of the modern road and the rest of the herd had seen what the others had been told about."
+    seldom = "It was a bad day for the cat, the car and the modem were bad, so the cat sat near the car while the modem was tested by somebody else in the other room of the house."
+    rows = [(1000 + i, 8, "paragraph", 1, i, often) for i in range(60)] + [(2000 + i, 8, "paragraph", 1, 100 + i, seldom) for i in range(2)]
+    rows += [(10 + i, 1, "paragraph", 1, i, "A bad cat had to eat near the car,\nand the modem was bad for the ear\nof the cat in the modern docurnent.") for i in range(3)]
+    rows += [(3000 + i, 8, "paragraph", 1, 300 + i, "Every document names another document, and a document may be read again by everybody who had the document in his hands before that day was over.") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fixes = scans.Survey(df, None, scans.NAMES).bad_forms()
+    assert {r.form for r in fixes.collect()} == {"docurnent"}
+    assert {r.block for r in scans.find_noise(df).where("kind = 'ocr'").collect()} == {10, 11, 12}
+    text = {r.paragraph: r.text for r in scans.clean_paragraphs(df).collect()}
+    assert "A bad cat had to eat near the car, and the modem was bad for the ear of the cat in the modern document." in text[12]
+
+
+def test_a_word_goes_on_far_behind(spark):
+    """However many captions and tables lie between, and over the ends of segments."""
+    plain = [(5000 + i, 9, "paragraph", 1, i, "The ranking of every document follows the ranking.") for i in range(30)]
+    rows = [(1, 1, "paragraph", 1, 0, "Every document follows the rank-"), *[(10 + i, 1, "table_like", 1, 1 + i, f"{i}\n{i + 1}") for i in range(3000)], (2, 1, "paragraph", 2, 3001, "ing of the next document.")]
+    df = spark.createDataFrame([*plain, *rows], SCHEMA)
+    found = {r.paragraph: r for r in scans.clean_paragraphs(df).where("paper = 1").collect()}
+    assert found[1].text == "Every document follows the ranking of the next document." and list(found[1].blocks) == [1, 2] and 2 not in found
+
+
+def test_following(spark):
+    rows = [(i, i % 2, i * 700, i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "block long, paper long, ord int, good boolean")
+    found = {r.block: r.n for r in scans.following(df, F.when(F.col("good"), F.col("block")), "n").collect()}
+    assert found == {b: next((c for c, q, o, good in rows if q == p and o > at and good), None) for b, p, at, _ in rows}
+
+
+def test_breaks_are_labels_of_the_line_model():
+    chain = scans.line_model()
+    joined = scans.cut_features("-", "ing", "more", "unknown")
+    kept = scans.cut_features("-", "resource", "less", "known")
+    assert scans.label_block(chain, [scans.plain_line(0, 3), joined, scans.plain_line(2, 3)]) == ["O", "break", "O"]
+    assert scans.label_block(chain, [scans.plain_line(0, 3), kept, scans.plain_line(2, 3)]) == ["O", "O", "O"]
