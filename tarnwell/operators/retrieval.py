@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tarnwell.session import cut
 
 K1, B, RRF_K, OVERFETCH = 1.2, 0.75, 60, 4
+SALTS, ROWS_A_BLOCK, QUERIES_A_BLOCK = 16, 8192, 2048
 STRATEGIES = ("bm25", "dense", "vector", "hybrid", "hybrid_hyde", "hybrid_rerank", "hybrid_hyde_rerank")
 
 
@@ -46,10 +47,16 @@ def index_rows(embeddings: DataFrame, chunks: DataFrame, documents: DataFrame, p
     return rows.withColumn("paper_section", section).withColumnRenamed("p_id", "paper_id")
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """``term``, ``chunk_id``, ``tf``, ``length`` of every chunk, with its paper and strategy."""
+def stored(index: DataFrame) -> DataFrame:
+    """The columns of the index that searches read, written once: postings, vectors and contents are taken from there and not joined anew."""
+    return cut(index.select("chunk_id", "paper_id", "chunking_strategy", "content", "embedding"))
+
+
+def postings(index: DataFrame, with_lengths: bool = False) -> DataFrame:
+    """``term``, ``chunk_id``, ``tf``, ``length`` of every chunk, with its paper and strategy; ``with_lengths`` adds a row without a term for each chunk."""
     found = index.select("chunk_id", "paper_id", "chunking_strategy", terms(F.col("content")).alias("terms"))
-    found = found.select("chunk_id", "paper_id", "chunking_strategy", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    own = F.concat("terms", F.array(F.lit(None).cast("string"))) if with_lengths else F.col("terms")
+    found = found.select("chunk_id", "paper_id", "chunking_strategy", F.size("terms").alias("length"), F.explode(own).alias("term"))
     return found.groupBy("term", "chunk_id", "length", "paper_id", "chunking_strategy").agg(F.count("*").alias("tf"))
 
 
@@ -63,9 +70,10 @@ class Lexical:
 
 
 def lexical_index(index: DataFrame) -> Lexical:
-    """Build the lexical tables once; searches read them."""
-    rows = cut(postings(index))
-    totals = index.select(F.size(terms(F.col("content"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    """Build the lexical tables once, in one pass over the index; searches read them."""
+    rows = cut(postings(index, with_lengths=True))
+    totals = rows.where("term IS NULL").agg(F.count("*").alias("n"), F.avg(F.coalesce("length", F.lit(0))).alias("mean"))
+    rows = rows.where("term IS NOT NULL")
     return Lexical(rows, cut(rows.groupBy("term").agg(F.count("*").alias("df"))), cut(totals))
 
 
@@ -74,7 +82,8 @@ def bm25(queries: DataFrame, index: DataFrame | Lexical, top_k: int) -> DataFram
 
     Statistics are those of the whole index, filters come after. Postings are joined on the term, and
     for queries with a paper filter on the paper as well, so that a common word brings only the
-    chunks of that paper. Ties go to the least chunk id.
+    chunks of that paper; without one the postings of a word are met in ``SALTS`` parts, so that a common
+    word is not one task's. Ties go to the least chunk id.
     """
     lexical = index if isinstance(index, Lexical) else lexical_index(index)
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"), "paper_filter", "strategy_filter")
@@ -83,7 +92,9 @@ def bm25(queries: DataFrame, index: DataFrame | Lexical, top_k: int) -> DataFram
     placed = lexical.postings.alias("p")
     columns = ["query_id", "p.chunk_id", "idf", "p.tf", "p.length", "mean", "strategy_filter", "p.chunking_strategy"]
     within = weighted.where("paper_filter IS NOT NULL").join(placed, (F.col("w.paper_filter") == F.col("p.paper_id")) & (F.col("w.term") == F.col("p.term")))
-    anywhere = weighted.where("paper_filter IS NULL").join(placed, F.col("w.term") == F.col("p.term"))
+    salted = weighted.where("paper_filter IS NULL").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("w")
+    parts = lexical.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS))).alias("p")
+    anywhere = salted.join(parts, (F.col("w.term") == F.col("p.term")) & (F.col("w.salt") == F.col("p.salt")))
     hits = within.select(*columns).unionByName(anywhere.select(*columns))
     hits = hits.where(F.col("strategy_filter").isNull() | F.array_contains(strategies_of(F.col("strategy_filter")), F.col("chunking_strategy")))
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean")))
@@ -96,74 +107,60 @@ def top(scored: DataFrame, top_k: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
 
 
-def dense(queries: DataFrame, index: DataFrame, top_k: int, block: int = 2048) -> DataFrame:
+def _usable(vector: Column) -> Column:
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(vector, lambda x: x != 0)
+
+
+def _units(vectors: pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of that length, and these as rows of unit length."""
+    column = vectors.combine_chunks()
+    lengths = column.value_lengths().to_numpy()
+    use = np.flatnonzero(lengths == length)
+    rows = column.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(use), length)
+    return use, rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def dense(queries: DataFrame, index: DataFrame, top_k: int, rows_a_block: int = ROWS_A_BLOCK, queries_a_block: int = QUERIES_A_BLOCK) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``rank`` by cosine, as (1 + cosine) / 2.
 
-    Queries are sent to the tasks in blocks of bounded size; a task compares its chunks with a block
-    by one matrix product and sends on its own best ``top_k`` for each query. Vectors that are null, of
-    another length or zero match nothing.
+    A query with a paper filter meets the chunks of that paper alone, others meet all. Chunks and queries
+    of a paper (or of the whole index) come in blocks of bounded size; each pair of blocks is one
+    matrix product, which sends on its own best ``top_k`` for each query. One plan does it all, and nothing
+    passes through the driver. Vectors that are null, of another length or zero match nothing.
     """
-    spark = index.sparkSession
-    good = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0)
-    asked = queries.where(good).select("query_id", "vector", "paper_filter", "strategy_filter")
-    rows = index.select("chunk_id", F.col("embedding").alias("vector"), "paper_id", "chunking_strategy").where(good)
     kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, chunk_id long, score double"
-    found, held = None, []
-
-    def one_block(block_rows: list) -> DataFrame:
-        groups: dict[int, list] = {}
-        for r in block_rows:
-            groups.setdefault(len(r[1]), []).append(r)
-        sent = {}
-        for length, own in groups.items():
-            matrix = np.array([r[1] for r in own], np.float64)
-            sent[length] = ([r[0] for r in own], matrix / np.linalg.norm(matrix, axis=1, keepdims=True), np.array([-1 if r[2] is None else r[2] for r in own]), [r[3] for r in own])
-        shared = spark.sparkContext.broadcast(sent)
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                papers = batch.column(2).fill_null(-2).to_numpy()
-                strategies = batch.column(3).to_pylist()
-                lengths = np.diff(batch.column(1).offsets.to_numpy())
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                starts = np.concatenate([[0], np.cumsum(lengths)])
-                for length, (names, matrix, wanted, only) in shared.value.items():
-                    use = np.flatnonzero(lengths == length)
-                    if not len(use):
-                        continue
-                    own = np.stack([flat[starts[i] : starts[i] + length] for i in use])
-                    own /= np.linalg.norm(own, axis=1, keepdims=True)
-                    cosines = np.round((1 + matrix @ own.T) / 2, 9)
-                    allowed = (wanted[:, None] == -1) | (wanted[:, None] == papers[use][None, :])
-                    for s in set(only) - {None}:
-                        admitted = {"agentic": {"agentic", "agentic_fusion", "fused"}}.get(s, {s})
-                        mask = np.array([strategies[i] in admitted for i in use])
-                        allowed[np.array([o == s for o in only])] &= mask
-                    q, c, v = [], [], []
-                    for i in range(len(names)):
-                        at = np.flatnonzero(allowed[i])
-                        if len(at):
-                            order = np.lexsort((ids[use[at]], -cosines[i, at]))[:top_k]
-                            q += [names[i]] * len(order)
-                            c.append(ids[use[at[order]]])
-                            v.append(cosines[i, at[order]])
-                    if q:
-                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(c)), pa.array(np.concatenate(v))], ["query_id", "chunk_id", "score"])
-
-        return rows.mapInArrow(compare, schema)
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            part = one_block(held)
-            found, held = part if found is None else found.unionByName(part), []
-    if held:
-        part = one_block(held)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    asked = queries.where(_usable(F.col("vector"))).select("query_id", F.col("vector").cast("array<double>").alias("vector"), "strategy_filter", F.coalesce(F.col("paper_filter").cast("long"), F.lit(-1)).alias("scope"))
+    rows = index.select("chunk_id", F.col("embedding").cast("array<double>").alias("vector"), "chunking_strategy", F.explode(F.array(F.coalesce(F.col("paper_id").cast("long"), F.lit(-2)), F.lit(-1).cast("long"))).alias("scope"))
+    rows = rows.where(_usable(F.col("vector")))
+    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    query_blocks = asked.groupBy("scope").agg(blocks(F.count("*"), queries_a_block).alias("query_blocks"))
+    rows = rows.join(query_blocks, "scope")  # scopes that are asked for
+    row_blocks = rows.groupBy("scope").agg(blocks(F.count("*"), rows_a_block).alias("row_blocks"))
+    rows = rows.join(row_blocks, "scope").withColumn("row_block", F.pmod(F.xxhash64("chunk_id"), "row_blocks").cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    asked = asked.join(query_blocks, "scope").join(row_blocks, "scope").withColumn("query_block", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int"))
+    asked = asked.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)))
+    keys = ["scope", "row_block", "query_block"]
+
+    def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names, ids = asked.column("query_id"), rows.column("chunk_id").to_numpy()
+        only, strategies = np.array(asked.column("strategy_filter").to_pylist(), object), np.array(rows.column("chunking_strategy").to_pylist(), object)
+        at, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for length in np.unique(asked.column("vector").combine_chunks().value_lengths().to_numpy()):
+            (q, x), (r, y) = _units(asked.column("vector"), length), _units(rows.column("vector"), length)
+            cosines = np.round((1 + x @ y.T) / 2, 9)
+            for wanted in set(only[q].tolist()) - {None}:
+                admitted = ("agentic", "agentic_fusion", "fused") if wanted == "agentic" else (wanted,)
+                cosines[np.ix_(only[q] == wanted, ~np.isin(strategies[r], admitted))] = -1
+            order = np.argsort(ids[r], kind="stable")
+            best = order[np.argsort(-cosines[:, order], axis=1, kind="stable")[:, :top_k]]
+            values = np.take_along_axis(cosines, best, 1)
+            row, place = np.nonzero(values >= 0)
+            at.append(q[row])
+            found.append(ids[r[best[row, place]]])
+            scores.append(values[row, place])
+        return pa.table({"query_id": names.take(pa.array(np.concatenate(at))), "chunk_id": pa.array(np.concatenate(found)), "score": pa.array(np.concatenate(scores))})
+
+    found = asked.select("query_id", "vector", "strategy_filter", *keys).groupBy(*keys).cogroup(rows.select("chunk_id", "vector", "chunking_strategy", *keys).groupBy(*keys)).applyInArrow(compare, f"query_id {kind}, chunk_id long, score double")
     return top(found, top_k)
 
 
@@ -189,8 +186,12 @@ def fuse(sources: dict[str, DataFrame], rrf_k: int = RRF_K) -> DataFrame:
 
 
 def hybrid(queries: DataFrame, index: DataFrame, top_k: int, rrf_k: int = RRF_K, expanded: DataFrame | None = None, wide: int | None = None) -> DataFrame:
-    """Lexical and dense results, each over-fetched (``wide``), fused; ``expanded`` adds a third source with the vectors of expanded queries."""
+    """Lexical and dense results, each over-fetched (``wide``), fused; ``expanded`` adds a third source with the vectors of expanded queries.
+
+    Pass an index that is ``stored``: several sources read it.
+    """
     wide = wide or max(OVERFETCH * top_k, 10)
+    queries = cut(queries)
     sources = {"bm25": bm25(queries, index, wide), "vector": dense(queries, index, wide)}
     if expanded is not None:
         sources["hyde_vector"] = dense(expanded, index, wide)
@@ -236,6 +237,7 @@ def search(strategy: str, queries: DataFrame, index: DataFrame, top_k: int = 5,
     if strategy in ("dense", "vector"):
         return dense(queries, index, top_k)
     with_expansion = expanded if "hyde" in strategy else None
+    index = stored(index)
     if "rerank" not in strategy:
         return hybrid(queries, index, top_k, expanded=with_expansion)
     fused = hybrid(queries, index, max(top_k, candidates), expanded=with_expansion, wide=max(OVERFETCH * top_k, 10))

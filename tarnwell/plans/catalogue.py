@@ -465,7 +465,7 @@ def dense_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SEARCH} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM hybrid")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense results fused by reciprocal rank."""
-    return retrieval.hybrid(_asked(spark, d), _index(spark, d), K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return retrieval.search("hybrid", _asked(spark, d), _index(spark, d), K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query()
@@ -483,7 +483,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number()
 )
 def results_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each chunk over both searches."""
-    asked, index = _asked(spark, d), _index(spark, d)
+    asked, index = _asked(spark, d), retrieval.stored(_index(spark, d))
     both = retrieval.bm25(asked, index, K).withColumn("position", F.lit(0)).unionByName(retrieval.dense(asked, index, K).withColumn("position", F.lit(1)))
     return retrieval.best_of_each_chunk(both.drop("rank"), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -536,7 +536,7 @@ SELECT variant, count(*) AS ok_cases, {", ".join(f"round(avg({m}_{k}), 3) AS {m}
 )
 def variant_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Mean metrics of three search strategies over all cases, in one job."""
-    asked, index = _asked(spark, d), _index(spark, d)
+    asked, index = cut(_asked(spark, d)), retrieval.stored(_index(spark, d))
     wide = retrieval.OVERFETCH * K
     by_words, by_vector = cut(retrieval.bm25(asked, index, wide)), cut(retrieval.dense(asked, index, wide))
     fused = retrieval.fuse({"bm25": by_words, "vector": by_vector})
@@ -621,7 +621,7 @@ def query_decisions(spark: SparkSession, d: str) -> DataFrame:
 def graded_results(spark: SparkSession, d: str) -> DataFrame:
     """Whether the three best fused results suffice for each case, by rule."""
     asked, index = _asked(spark, d), _index(spark, d)
-    rows = retrieval.hybrid(asked, index, 3).join(index.select("chunk_id", "content", "section_name"), "chunk_id")
+    rows = retrieval.hybrid(asked, retrieval.stored(index), 3).join(_chunks(spark, d).select(F.col("id").alias("chunk_id"), "content", "section_name"), "chunk_id")
     lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content", "section_name"))).alias("r"))
     graded = asked.select("query_id", "query").join(lists, "query_id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<rank:int,content:string,section_name:string>>")))
     decision = agent.grade(F.col("query"), F.transform("r", lambda x: x.content), F.transform("r", lambda x: x.section_name))

@@ -68,7 +68,7 @@ def test_bm25_matches_the_formula(spark):
 
 def test_dense_fused_and_reranked(spark):
     index, asked = _index(spark), _asked(spark)
-    dense = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense(asked, index, 10, block=1).collect()}
+    dense = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense(asked, index, 10, rows_a_block=1, queries_a_block=1).collect()}
     assert dense["q1", 1] == 1.0 and dense["q1", 3] == pytest.approx((1 + math.sqrt(0.5)) / 2, abs=1e-8) and ("q2", 1) not in dense and {c for q, c in dense if q == "q3"} == {2, 3}
     fused = {(r.query_id, r.chunk_id): r for r in retrieval.hybrid(asked, index, 10).collect()}
     assert fused["q1", 1].score == pytest.approx(1 / 61 + 1 / 61, abs=1e-9) and set(fused["q1", 1].source_scores) == {"bm25", "vector"}
