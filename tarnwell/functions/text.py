@@ -32,6 +32,9 @@ TABLE_LINE = r"(?m)^\s*\|.+\|\s*$|^\s*[-+]{3,}\s*$"
 NAME_PAIR, NAME_PAIR_MARKED = r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+[0-9*†‡§¶]*\b"
 CAPTION_WITHIN = r"(?i)\b(?:Table|Figure|Fig\.)\s*\d+[A-Za-z]?\s*[:.]\s*"
 LINK_TERMS = ("http", "github", "huggingface", "physionet", "link")
+PLAIN_HEADING, WORDS_OF_HEADING = r"^(?:\d+(?:\.\d+)*\s+)?[A-Z][\w/&: -]+$", 12
+METADATA_TERMS, METADATA_DATE, METADATA_WORDS = ("university", "department of", "school of", "institute", "affiliation"), r"^(?:19|20)\d{2}(?:[-/]\d{1,2}){0,2}$", r"\b(?:author|authors|copyright|license)\b"
+BREAKS_OFF = r"(?i)(?:\band\s*\(\d+\)|\bsuch as|\bincluding|\bwhere|\bbecause|\blet|[:,;])\s*$"
 LOCAL_TERMS = ("langchain", "langgraph", "rag", "retrieval", "知识库", "文档", "检索")
 CURRENT_TERMS = ("today", "current", "latest", "news", "weather", "price", "schedule", "现在", "今天", "最新", "新闻", "实时", "天气", "价格", "日程")
 
@@ -399,3 +402,25 @@ def query_terms(query: Column) -> Column:
     asked = ("about", "chapter", "discuss", "discussed", "does", "explain", "section", "what", "which")
     good = F.filter(found, lambda x: x.rlike(r"^\d") | ((F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) >= 2)) | (F.length(x) >= 3))
     return F.array_distinct(F.filter(F.transform(good, F.lower), lambda x: ~x.isin(*asked)))
+
+
+def is_heading_text(content: Column) -> Column:
+    """One line that is a second-level heading, or a short capitalised one without a full stop."""
+    lines = filled_lines(sanitized(content))
+    one = F.get(lines, 0)
+    plain = (word_count(one) <= WORDS_OF_HEADING) & ~one.endswith(".") & one.rlike(PLAIN_HEADING)
+    return F.coalesce((F.size(lines) == 1) & (one.startswith("## ") | plain), F.lit(False))
+
+
+def looks_like_metadata(content: Column) -> Column:
+    """Empty, an address, an institution, a date, or a few words on authors and rights."""
+    one = stripped(sanitized(content))
+    low = F.lower(one)
+    return (one == "") | F.contains(one, F.lit("@")) | any_of(low, METADATA_TERMS) | one.rlike(METADATA_DATE) | (word_count(one) <= WORDS_OF_HEADING) & low.rlike(METADATA_WORDS)
+
+
+def breaks_off(content: Column) -> Column:
+    """Ends in words or marks that want to go on, or leaves a bracket open."""
+    one = stripped(sanitized(content))
+    count = lambda mark: F.regexp_count(one, F.lit("\\" + mark))
+    return (one != "") & (one.rlike(BREAKS_OFF) | (count("(") > count(")")) | (count("[") > count("]")))

@@ -116,3 +116,18 @@ def quality_report(chunks: DataFrame) -> DataFrame:
         F.min(words).alias("min_words"),
         F.max(words).alias("max_words"),
     )
+
+
+def planner_statistics(chunks: DataFrame, tiny: int = 50) -> DataFrame:
+    """``chunks``, ``avg_chunk_tokens``, ``min_chunk_tokens``, ``tiny_chunks`` of each document."""
+    from tarnwell.functions.text import word_count
+
+    words = word_count(F.col("content"))
+    return chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.round(F.avg(words), 2).alias("avg_chunk_tokens"), F.min(words).alias("min_chunk_tokens"), F.count_if(words < tiny).alias("tiny_chunks"))
+
+
+def flagged(chunks: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` chunks with quality flags: their place, the flags as ``reason`` and the beginning of the text."""
+    rows = chunks.where(F.size("metadata.quality_flags") > 0).orderBy("document_id", "chunk_index", "id").limit(most)
+    preview = F.substring(F.replace("content", F.lit("\n"), F.lit(" ")), 1, 180)
+    return rows.select("id", "document_id", "chunk_index", "section_name", F.array_join("metadata.quality_flags", ",").alias("reason"), preview.alias("preview"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.measures import ideal_gain, mean4, nearest_rank, share_of_known, share_true
@@ -62,13 +62,22 @@ def ranking_metrics(results: DataFrame, gold: DataFrame, keys: list[str], top_k:
 
 
 def source_metrics(results: DataFrame, cases: DataFrame, keys: list[str], strategy: Column | None = None) -> DataFrame:
-    """Which of a case's gold chunks, documents, sections, keywords and references its results hold, and whether any does."""
+    """Which of a case's gold chunks, documents, sections, keywords, pages and visual references its results hold, and whether any does.
+
+    Pages count where cases have ``gold_page_numbers`` and results ``page_number``, references where cases have
+    ``gold_visual_refs`` and results ``visual_refs``.
+    """
+    pages = "gold_page_numbers" in cases.columns and "page_number" in results.columns
+    references = "gold_visual_refs" in cases.columns and "visual_refs" in results.columns
+    extra = [F.coalesce("gold_page_numbers", F.array().cast("array<int>")).cast("array<int>").alias("g_pages")] if pages else []
+    extra += [F.transform(F.coalesce("gold_visual_refs", F.array().cast("array<string>")), normal).alias("g_refs")] if references else []
     wanted = cases.select(
         *keys,
         gold_ids(F.lit(None).cast("string") if strategy is None else strategy).alias("g_chunks"),
         F.coalesce("gold_document_ids", F.array().cast("array<long>")).alias("g_documents"),
         F.transform(F.coalesce("gold_sections", F.array().cast("array<string>")), normal).alias("g_sections"),
         F.transform(F.filter(F.coalesce("gold_keywords", F.array().cast("array<string>")), lambda x: x.isNotNull()), normal).alias("g_keywords"),
+        *extra,
     )
     rows = wanted.join(results, keys, "left")
     held = {
@@ -77,8 +86,31 @@ def source_metrics(results: DataFrame, cases: DataFrame, keys: list[str], strate
         "section_hit": F.array_contains("g_sections", normal(F.coalesce("section_name", F.lit("")))) & F.col("chunk_id").isNotNull(),
         "keyword_hit": F.exists("g_keywords", lambda k: F.contains(normal(F.col("content")), k)),
     }
+    if pages:
+        held["page_hit"] = F.array_contains("g_pages", F.col("page_number").cast("int"))
+    if references:
+        held["visual_ref_hit"] = F.arrays_overlap("g_refs", F.transform("visual_refs", normal))
     flags = rows.groupBy(*keys).agg(*[F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False)).alias(n) for n, c in held.items()])
-    return flags.withColumn("citation_source_hit", F.col("chunk_hit") | F.col("document_hit") | F.col("section_hit") | F.col("keyword_hit"))
+    return flags.withColumn("citation_source_hit", F.greatest(*[F.col(n) for n in held]))
+
+
+def metrics_with_fallback(results: DataFrame, cases: DataFrame, keys: list[str], top_k: tuple[int, ...] = TOP_K) -> DataFrame:
+    """``ranking_metrics`` by gold ``chunks``; where a case has none, by its gold ``documents`` and the documents of its results."""
+    by_chunk = F.size(F.coalesce("chunks", F.array().cast("array<long>"))) > 0
+    gold = cases.select(*keys, by_chunk.alias("by_chunk"), F.array_distinct(F.when(by_chunk, F.col("chunks")).otherwise(F.coalesce("documents", F.array().cast("array<long>")))).alias("relevant"))
+    items = results.join(gold.select(*keys, "by_chunk"), keys).select(*keys, F.when(F.col("by_chunk"), F.col("chunk_id")).otherwise(F.col("document_id")).alias("item"), "rank")
+    return ranking_metrics(items, gold, keys, top_k)
+
+
+def question_chunks(chunks: DataFrame, documents: DataFrame, papers: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` planned chunks of each paper to ask about, tables and figures first: ``id``, ``paper_id``, ``source_chunk_id``, ``document_id``, ``category``."""
+    visual = F.col("chunk_type").isin("table", "figure_caption", "fused")
+    docs = documents.select(F.col("id").alias("document_id"), F.col("source").alias("source_url"))
+    rows = chunks.where(F.col("chunking_strategy").isin("agentic", "agentic_fusion") & F.col("section_name").isNotNull()).select(F.col("id").alias("source_chunk_id"), "document_id", "chunk_index", "chunk_type")
+    rows = rows.join(docs, "document_id").join(papers.select(F.col("id").alias("paper_id"), "arxiv_id", "source_url"), "source_url")
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.when(visual, 0).otherwise(1), "chunk_index", "source_chunk_id"))
+    rows = rows.withColumn("n", place).where(F.col("n") <= most)
+    return rows.select(F.concat(F.lit("ablation-"), "arxiv_id", F.lit("-"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("id"), "paper_id", "source_chunk_id", "document_id", F.when(visual, "figure_table").otherwise("method").alias("category"))
 
 
 def answer_metrics(answers: DataFrame, judges: DataFrame) -> DataFrame:

@@ -85,3 +85,14 @@ def in_order_of(ids: DataFrame, position: str, key: str, rows: DataFrame) -> Dat
     joined = ids.join(rows.withColumn("_there", F.lit(True)), key, "left")
     known = F.when(F.col("_there").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no row for "), F.col(key).cast("string"))).cast("boolean"))
     return joined.where(known).drop("_there").orderBy(position)
+
+
+def paper_files(papers: DataFrame) -> DataFrame:
+    """``paper_id``, ``file_type``, ``path`` of the files that papers name."""
+    return papers.where(F.col("pdf_url") != "").select(F.col("id").alias("paper_id"), F.lit("pdf").alias("file_type"), F.col("pdf_url").alias("path"))
+
+
+def put_vectors(stored: DataFrame, new: DataFrame, size: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """The index with new entries in place of old ones of their key; a vector of another length than ``size`` is an error."""
+    checked = new.withColumn(vector, F.when(F.size(vector) == size, F.col(vector)).otherwise(F.raise_error(F.lit(f"vectors must have {size} components"))))
+    return latest_wins(stored, checked, [key], [])

@@ -277,10 +277,10 @@ def block_type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).groupBy("block_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_C} SELECT chunking_strategy, coalesce(round(avg(token_count), 2), 0) AS avg_tokens FROM c WHERE token_count BETWEEN 1 AND 100000 GROUP BY 1")
+@query(f"WITH {_C} SELECT chunking_strategy, coalesce(round(avg(token_count), 2), 0) AS avg_tokens FROM c GROUP BY 1")
 def average_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of the stored token counts of each strategy; counts that cannot be are left out."""
-    rows = _chunks(spark, d).where("token_count BETWEEN 1 AND 100000")
+    """Mean of all stored token counts of each strategy."""
+    rows = _chunks(spark, d)
     return rows.groupBy("chunking_strategy").agg(F.coalesce(F.round(F.avg("token_count"), 2), F.lit(0.0)).alias("avg_tokens"))
 
 
@@ -834,3 +834,6 @@ def embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = load_table(spark, d, "chunk_embeddings").groupBy("model_name").agg(F.countDistinct("chunk_id").alias("embedded"))
     chunks = load_table(spark, d, "document_chunks").agg(F.countDistinct("id").alias("chunks"))
     return rows.crossJoin(F.broadcast(chunks)).select("model_name", "chunks", "embedded", (F.col("chunks") - F.col("embedded")).alias("missing"))
+
+
+from tarnwell.plans import lookups  # noqa: E402, F401 - adds its queries to these
