@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

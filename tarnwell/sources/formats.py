@@ -153,12 +153,21 @@ class _FeedReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
+    def _storage(self):
+        """The file system of the folder, whatever storage it is on, and the folder's path there."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else os.path.abspath(self.path))
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".xml")]
+        from pyarrow import fs
+
+        storage, folder = self._storage()
+        return [InputPartition(f.path) for f in sorted(storage.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path) if f.path.endswith(".xml")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         import re
 
-        with open(partition.value, encoding="utf-8") as f:
-            for m in re.finditer(r"<entry\b.*?</entry>", f.read(), re.S):
+        with self._storage()[0].open_input_stream(partition.value) as f:
+            for m in re.finditer(r"<entry\b.*?</entry>", f.read().decode("utf-8"), re.S):
                 yield partition.value, m[0]

@@ -10,14 +10,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.operators.chunking import fixed_chunks
+from tarnwell.operators.chunking import fixed_chunks, one_of_each_hash
 from tarnwell.session import shared_dir
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a Parquet file or folder, with the schema of its files."""
     schema = spark.read.parquet(path).schema
-    folder = path if os.path.isdir(path) else f"{os.path.dirname(path)}/*{os.path.basename(path)}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # on whatever storage it is
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    folder = path if status.isDirectory() else f"{os.path.dirname(path)}/*{os.path.basename(path)}"
     return spark.readStream.schema(schema).parquet(folder)
 
 
@@ -51,7 +53,7 @@ def chunk_new_documents(spark: SparkSession, source: str, target: str, checkpoin
     """Documents that arrived since the last run, cut into windows; contents already stored are left out."""
 
     def add(batch: DataFrame, number: int) -> None:
-        new = fixed_chunks(batch.dropDuplicates(["id"])).dropDuplicates(["content_hash"])
+        new = one_of_each_hash(fixed_chunks(batch.dropDuplicates(["id"])))
         try:
             stored = spark.read.parquet(target).where(F.col("batch") != number).select("content_hash").distinct()
         except AnalysisException:  # nothing is stored yet
