@@ -35,6 +35,9 @@ LINK_TERMS = ("http", "github", "huggingface", "physionet", "link")
 PLAIN_HEADING, WORDS_OF_HEADING = r"^(?:\d+(?:\.\d+)*\s+)?[A-Z][\w/&: -]+$", 12
 METADATA_TERMS, METADATA_DATE, METADATA_WORDS = ("university", "department of", "school of", "institute", "affiliation"), r"^(?:19|20)\d{2}(?:[-/]\d{1,2}){0,2}$", r"\b(?:author|authors|copyright|license)\b"
 BREAKS_OFF = r"(?i)(?:\band\s*\(\d+\)|\bsuch as|\bincluding|\bwhere|\bbecause|\blet|[:,;])\s*$"
+NUMBERED_H2 = r"^##\s+\d+(?:\.\d+)*\s+.+$"
+WORDS_OF_TITLE, FRONT_MATTER_TERMS, RIGHTS_TERMS = 14, ("@", "university", "department of", "school of", "affiliation"), ("arxiv.org", "copyright", "license")
+OPEN_ENDS = r"(?i)\b(?:and|or|where|because|therefore|including|such as|with|by|for|to|in)\s*$|[,;:]\s*$|\b(?:and|or)\s*\(\d+\)\s*$"
 LOCAL_TERMS = ("langchain", "langgraph", "rag", "retrieval", "知识库", "文档", "检索")
 CURRENT_TERMS = ("today", "current", "latest", "news", "weather", "price", "schedule", "现在", "今天", "最新", "新闻", "实时", "天气", "价格", "日程")
 
@@ -199,16 +202,13 @@ def is_affiliation_line(text: Column) -> Column:
     return sanitized(text).rlike(AFFILIATION)
 
 
-def block_kind(text: Column, order: Column) -> Column:
-    """Kind of a block by its first line and its place: the first rule that holds."""
+def plain_kind(text: Column) -> Column:
+    """Kind of a block by its first line, wherever it stands: the first rule that holds."""
     clean = stripped(sanitized(text))
     first = F.coalesce(first_line(clean), F.lit(""))
     low = F.lower(stripped(F.regexp_replace(first, r"^\d+(\.\d+)*\s+", "")))
-    names = is_author_line(first) | is_affiliation_line(first)
     return (
         F.when(clean == "", "unknown")
-        .when((order == 0) & (F.length(first) <= LONGEST_TITLE), "title")
-        .when((order <= NAMES_WITHIN) & names, F.when(is_affiliation_line(first), "affiliation").otherwise("authors"))
         .when((low == "abstract") | F.lower(first).startswith("abstract"), "abstract")
         .when(low == "references", "reference")
         .when(low == "appendix", "appendix")
@@ -225,6 +225,14 @@ def block_kind(text: Column, order: Column) -> Column:
     )
 
 
+def block_kind(text: Column, order: Column) -> Column:
+    """Kind of a block by its place and its first line: a title comes first, names stand near the beginning."""
+    clean = stripped(sanitized(text))
+    first = F.coalesce(first_line(clean), F.lit(""))
+    names = names_kind(first)
+    return F.when(clean == "", "unknown").when((order == 0) & (F.length(first) <= LONGEST_TITLE), "title").when((order <= NAMES_WITHIN) & names.isNotNull(), names).otherwise(plain_kind(text))
+
+
 def is_meaningful(text: Column) -> Column:
     one = stripped(text)
     return (F.length(one) >= LEAST_MEANINGFUL) & one.rlike(LETTERS)
@@ -424,3 +432,21 @@ def breaks_off(content: Column) -> Column:
     one = stripped(sanitized(content))
     count = lambda mark: F.regexp_count(one, F.lit("\\" + mark))
     return (one != "") & (one.rlike(BREAKS_OFF) | (count("(") > count(")")) | (count("[") > count("]")))
+
+
+def looks_like_front_matter(content: Column) -> Column:
+    """Empty, an address or institution, authors, or a line on rights or the archive."""
+    low = F.lower(stripped(sanitized(content)))
+    return (low == "") | any_of(low, (*FRONT_MATTER_TERMS, *RIGHTS_TERMS)) | starts_with_any(low, ("authors", "arxiv:"))
+
+
+def is_visual_text(content: Column) -> Column:
+    """A caption, or a Markdown table."""
+    one = stripped(sanitized(content))
+    return one.rlike(r"(?i)^(?:figure|fig\.)\s*\d+[:.\s]") | F.lower(one).startswith("table ") | has_markdown_table(one)
+
+
+def ends_open(content: Column) -> Column:
+    """Whether the last line ends in a word or mark that wants to go on, or leaves a round bracket open."""
+    last = F.coalesce(F.try_element_at(filled_lines(sanitized(content)), F.lit(-1)), F.lit(""))
+    return (last != "") & (last.rlike(OPEN_ENDS) | (F.regexp_count(last, F.lit(r"\(")) > F.regexp_count(last, F.lit(r"\)"))))

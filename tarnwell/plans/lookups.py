@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
-from tarnwell.operators import chunking, evaluation, retrieval, store
+from tarnwell.operators import boundaries, chunking, evaluation, retrieval, store
 from tarnwell.plans.catalogue import _B, _C, _D, _METRICS, _P, _Q, _SEARCH, K, MODEL, _asked, _blocks, _cases, _chunks, _documents, _index, _metric_columns, _papers, _stamp, _text, query
 from tarnwell.sources.tables import load_table, once
 
@@ -167,3 +167,22 @@ def case_metrics_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.search("hybrid", _asked(spark, d), index, K).join(_chunks(spark, d).select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
     cases = _cases(spark, d).select(F.col("id").alias("query_id"), F.when(F.col("paper_id").isNotNull(), F.col("gold_chunk_ids")).alias("chunks"), F.col("gold_document_ids").alias("documents"))
     return evaluation.metrics_with_fallback(found, cases, ["query_id"])
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    content = F.coalesce(F.nullif("markdown_content", F.lit("")), "content")
+    return _blocks(spark, d).select("id", "paper_id", "order_index", "section_name", content.alias("text"))
+
+
+@query()
+def boundary_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Planned chunks built anew from their source blocks, headings with the text of their section."""
+    found = boundaries.sources_repaired(_chunks(spark, d).where("chunking_strategy = 'agentic'"), _sources(spark, d))
+    return found.select("id", "document_id", "chunk_index", "section_name", "content", "source_block_ids")
+
+
+@query()
+def boundaries_validated(spark: SparkSession, d: str) -> DataFrame:
+    """Planned chunks after all passes over their boundaries."""
+    found = boundaries.validated(_chunks(spark, d).where("chunking_strategy = 'agentic'"), _sources(spark, d))
+    return found.select("id", "piece", "document_id", "chunk_index", "section_name", "content", "source_block_ids")
