@@ -20,8 +20,10 @@ YEAR = r"(?:19|20)\d{2}"
 AFFILIATION = r"(?i)\b(Department of|School of|University|Institute|College|Laboratory|Lab|Faculty|Email|E-mail|@)\b"
 SILENT_TYPES = ("title", "authors", "affiliation", "date", "page_number", "metadata")
 NAMES_WITHIN, LEAST_MEANINGFUL, LONGEST_TITLE = 6, 20, 220
+LINE_ENDS = r"\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029"
 LETTERS = r"[A-Za-z\x{4e00}-\x{9fff}]"
 IMAGE, HEADING = r"^!\[([^\]]*)\]\(([^)]+)\)", r"^#{1,6}\s+(.+)$"
+HEADING_FIRST = r"^#{1,6}[^\S\n]+\S|^\d+(?:\.\d+)*[^\S\n]+[A-Z][^\n.]{1,160}(?:\n|$)"
 NUMBERED_HEADING = r"^\d+(?:\.\d+)*\s+[A-Z][^\n.]{1,160}$"
 CODE = (
     r"(?im)^\s*(?:def|class|import|from|for|while|if|elif|else|try|except|return)\b|^\s*\{.+:.+\}\s*$|^\s*\[[^\]]+:.+\]\s*$|^\s*[-\w]+:\s*[^,]+$"
@@ -69,6 +71,11 @@ def single_spaced(text: Column) -> Column:
     return stripped(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def cleaned(text: Column, is_clean: bool = False) -> Column:
+    """Without control characters and white space around it; ``is_clean`` says that the text is so already, which keeps plans small."""
+    return text if is_clean else stripped(sanitized(text))
+
+
 def normal(text: Column) -> Column:
     """Lower case with single spaces: how sections, keywords and references are compared."""
     return single_spaced(F.lower(text))
@@ -76,12 +83,18 @@ def normal(text: Column) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"), stripped)
+    lines = F.transform(F.split(text, rf"\r\n|[{LINE_ENDS}]"), stripped)
     return F.filter(lines, lambda x: x != "")
 
 
 def first_line(text: Column) -> Column:
-    return F.get(filled_lines(text), 0)
+    """The first line that is not blank, trimmed; null where there is none."""
+    return F.nullif(stripped(F.regexp_extract(text, rf"(?U)(\S[^{LINE_ENDS}]*)", 1)), F.lit(""))
+
+
+def has_several_lines(text: Column) -> Column:
+    """Whether more than one line is not blank."""
+    return text.rlike(rf"(?U)\S\s*[{LINE_ENDS}]\s*\S")
 
 
 def word_count(text: Column) -> Column:
@@ -150,12 +163,12 @@ def is_footnote_mark(text: Column) -> Column:
 
 
 def is_table_or_several_lines(text: Column) -> Column:
-    return (F.size(filled_lines(text)) > 1) | F.contains(text, F.lit("|")) | F.contains(text, F.lit("\t"))
+    return has_several_lines(text) | F.contains(text, F.lit("|")) | F.contains(text, F.lit("\t"))
 
 
-def is_noise(content: Column) -> Column:
+def is_noise(content: Column, is_clean: bool = False) -> Column:
     """Empty, or one line that is a page number, running header, date, licence or footnote mark."""
-    text = stripped(sanitized(content))
+    text = cleaned(content, is_clean)
     single = is_page_number(text) | is_running_header(text) | is_date(text) | is_licence_line(text) | is_footnote_mark(text)
     return (text == "") | (~is_table_or_several_lines(text) & single)
 
@@ -190,22 +203,22 @@ def is_table(text: Column) -> Column:
     return text.rlike(TABLE_LINE) | (F.regexp_count(text, F.lit("\t")) >= 4)
 
 
-def is_author_line(text: Column) -> Column:
-    one = stripped(sanitized(text))
+def is_author_line(text: Column, is_clean: bool = False) -> Column:
+    one = cleaned(text, is_clean)
     caption = one.rlike(r"(?i)^(?:Algorithm|Figure|Fig\.|Table)\s*\d+\b")
     several = one.rlike(r"(?i)\band\b|\b,\b") & one.rlike(NAME_PAIR)
     pair = one.rlike(NAME_PAIR_MARKED) & (word_count(one) <= 18)
     return (one != "") & (F.length(one) <= 220) & ~caption & (F.contains(one, F.lit("@")) | several | pair)
 
 
-def is_affiliation_line(text: Column) -> Column:
-    return sanitized(text).rlike(AFFILIATION)
+def is_affiliation_line(text: Column, is_clean: bool = False) -> Column:
+    return (text if is_clean else sanitized(text)).rlike(AFFILIATION)
 
 
-def plain_kind(text: Column) -> Column:
-    """Kind of a block by its first line, wherever it stands: the first rule that holds."""
-    clean = stripped(sanitized(text))
-    first = F.coalesce(first_line(clean), F.lit(""))
+def plain_kind(text: Column, first: Column | None = None, is_clean: bool = False) -> Column:
+    """Kind of a block by its first line (``first`` where it is known), wherever it stands: the first rule that holds."""
+    clean = cleaned(text, is_clean)
+    first = F.coalesce(first_line(clean), F.lit("")) if first is None else first
     low = F.lower(stripped(F.regexp_replace(first, r"^\d+(\.\d+)*\s+", "")))
     return (
         F.when(clean == "", "unknown")
@@ -238,12 +251,12 @@ def is_meaningful(text: Column) -> Column:
     return (F.length(one) >= LEAST_MEANINGFUL) & one.rlike(LETTERS)
 
 
-def is_numeric_heavy(text: Column) -> Column:
-    one = stripped(text)
+def is_numeric_heavy(text: Column, is_clean: bool = False) -> Column:
+    one = text if is_clean else stripped(text)
     digits, tokens = F.regexp_count(one, F.lit(r"\d")), F.greatest(F.lit(1), word_count(one))
     numbers = F.regexp_count(one, F.lit(r"\b\d+(?:\.\d+)?%?\b"))
     gaps = F.regexp_count(one, F.lit(r"\|")) + F.regexp_count(one, F.lit(r"\t")) + F.regexp_count(one, F.lit(r"\s{2,}"))
-    return (F.length(one) >= 8) & ((numbers >= 3) | ((digits / F.length(one) > 0.35) & (tokens >= 3)) | (gaps >= 2))
+    return (F.length(one) >= 8) & ((numbers >= 3) | ((digits > F.length(one) * 0.35) & (tokens >= 3)) | (gaps >= 2))
 
 
 def is_clear_heading(kind: Column, text: Column) -> Column:
@@ -251,25 +264,24 @@ def is_clear_heading(kind: Column, text: Column) -> Column:
     return first.rlike(r"^#{1,6}\s+\S+") | (kind == "section_title") | first.rlike(NUMBERED_HEADING)
 
 
-def names_kind(text: Column) -> Column:
+def names_kind(text: Column, is_clean: bool = False) -> Column:
     """``affiliation`` or ``authors`` for a line of institutions or names, else null."""
-    return F.when(is_affiliation_line(text), "affiliation").when(is_author_line(text), "authors")
+    return F.when(is_affiliation_line(text, is_clean), "affiliation").when(is_author_line(text, is_clean), "authors")
 
 
-def may_be_title(text: Column) -> Column:
-    """Whether a heading or paragraph is fit to be a title where none is marked."""
-    one = stripped(text)
-    return F.length(one).between(12, LONGEST_TITLE) & ~is_numeric_heavy(one) & one.rlike(LETTERS)
+def may_be_title(one: Column) -> Column:
+    """Whether a heading or paragraph without white space around it is fit to be a title where none is marked."""
+    return F.length(one).between(12, LONGEST_TITLE) & ~is_numeric_heavy(one, True) & one.rlike(LETTERS)
 
 
-def settled_kind(kind: Column, text: Column) -> Column:
+def settled_kind(kind: Column, text: Column, is_clean: bool = False) -> Column:
     """The few kinds that blocks of a converted document are brought down to."""
-    clean = stripped(sanitized(text))
+    clean = cleaned(text, is_clean)
     return (
         F.when(clean == "", F.when(kind.isin("figure", "image_reference"), "image_reference").otherwise("unknown"))
-        .when(is_image_reference(clean), "image_reference")
+        .when(is_image_reference(clean, True), "image_reference")
         .when(has_markdown_table(clean), "table")
-        .when((kind != "title") & is_clear_heading(kind, clean), "section_title")
+        .when((kind != "title") & ((kind == "section_title") | clean.rlike(HEADING_FIRST)), "section_title")
         .when(kind.isin(*SILENT_TYPES, "reference"), kind)
         .otherwise("paragraph")
     )
@@ -287,8 +299,8 @@ def is_caption(text: Column) -> Column:
     return stripped(sanitized(text)).rlike(r"(?i)^(?:Figure|Fig\.|Table)\s*\d+[:.]")
 
 
-def is_image_reference(text: Column) -> Column:
-    one = F.lower(stripped(sanitized(text)))
+def is_image_reference(text: Column, is_clean: bool = False) -> Column:
+    one = F.lower(cleaned(text, is_clean))
     return one.startswith("<!-- image") & one.endswith("-->")
 
 
