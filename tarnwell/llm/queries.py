@@ -82,13 +82,12 @@ def p3_terms(spark: SparkSession, data_dir: str) -> DataFrame:
     + """, words AS (SELECT field_name, record, string_split(term, ' ') AS w FROM kept),
 parts AS (
     SELECT field_name, record, array_to_string(w[i : i + n - 1], ' ') AS term
-    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT unnest([1, 2, 3]) AS n)
-    WHERE i + n - 1 <= len(w))
+    FROM (SELECT *, unnest(range(1, len(w) - i + 2)) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)))
 SELECT field_name, term, count(*) AS occurrences, count(DISTINCT record) AS records FROM parts GROUP BY 1, 2""",
 )
 def p3_phrase_parts(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Occurrences and records of all word sequences of one to three words within the terms."""
-    counted = terms.phrase_counts(_term_fields(spark, data_dir), parts_up_to=3)
+    """Occurrences and records of all word sequences within the terms, of any length."""
+    counted = terms.phrase_counts(_term_fields(spark, data_dir), parts_up_to=0)
     return counted.where(F.col("term").isNotNull()).select("field_name", "term", "occurrences", "records")
 
 

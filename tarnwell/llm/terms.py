@@ -105,6 +105,7 @@ def _parts(terms: pa.ListArray, most: int) -> tuple[list[str], np.ndarray, np.nd
     tokens, record, _, words = _stream(terms)
     stops = np.flatnonzero((tokens == 0) | (tokens > len(words)))
     left = stops[np.searchsorted(stops, np.arange(len(tokens)))] - np.arange(len(tokens))
+    most = most or int(left.max(initial=0))
     order = suffix_array(tokens)
     shared = common_prefixes(tokens, order, most)
     grams: list[str] = []
@@ -148,7 +149,7 @@ def phrase_counts(fields: list[tuple[DataFrame, str, str, str]], parts_up_to: in
 
     ``fields`` has (table, name of the field, record column, column with an array of phrases). Rows of
     one record count once. With
-    ``parts_up_to`` all word n-grams within the phrases up to that length are counted instead.
+    ``parts_up_to`` all word n-grams within the phrases up to that length (0: of any length) are counted instead.
     Each task builds the suffix array of the records it holds; a record is whole in one task, so the
     counts of the tasks add up, and a term that half of all records hold is one row per task.
     Null and empty arrays, null and blank phrases do not count; no rows give no rows.
