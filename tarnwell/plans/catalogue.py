@@ -226,7 +226,23 @@ def block_types(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).select("id", text.block_type(F.col("block_type")).alias("kind"), text.is_embeddable(F.col("block_type")).alias("embeddable"))
 
 
-@query()
+def _kind_sql(first: str, t: str, place: str) -> str:
+    titles = ", ".join(f"'{x}'" for x in text.SECTION_TITLES)
+    low = rf"lower(trim(regexp_replace({first}, '^\d+(\.\d+)*\s+', '')))"
+    pair = r"(^|[^\p{L}\p{N}_])[A-Z][a-z]+%s[A-Z][a-z]+[0-9]*($|[^\p{L}\p{N}_])"  # word edges are those of all letters
+    names = rf"""({first} <> '' AND length({first}) <= 220 AND NOT regexp_matches({first}, '(?i)^(Algorithm|Figure|Fig\.|Table)\s*\d+\b') AND (contains({first}, '@')
+        OR (regexp_matches({first}, '(?i)\band\b|\b,\b') AND regexp_matches({first}, '{pair % " "}')) OR (regexp_matches({first}, '{pair % "[[:space:]]+"}') AND len(list_filter(regexp_split_to_array({first}, '\s+'), lambda x: x <> '')) <= 18)))"""
+    return rf"""CASE WHEN {t} = '' THEN 'unknown' WHEN {place} = 0 AND length({first}) <= {text.LONGEST_TITLE} THEN 'title'
+    WHEN {place} <= {text.NAMES_WITHIN} AND regexp_matches({first}, '{text.AFFILIATION}') THEN 'affiliation' WHEN {place} <= {text.NAMES_WITHIN} AND {names} THEN 'authors'
+    WHEN {low} = 'abstract' OR starts_with(lower({first}), 'abstract') THEN 'abstract' WHEN {low} = 'references' THEN 'reference' WHEN {low} = 'appendix' THEN 'appendix' WHEN {low} IN ({titles}) THEN 'section_title'
+    WHEN regexp_matches({first}, '(?i)^(figure|fig\.)\s*\d+[:.\s]') THEN 'figure_caption' WHEN regexp_matches({first}, '(?i)^table\s*\d+[:.\s]') THEN 'table_caption'
+    WHEN regexp_matches({t}, '{text.TABLE_LINE}') OR length({t}) - length(replace({t}, chr(9), '')) >= 4 THEN 'table' WHEN regexp_matches({first}, '(?i)^(algorithm\s*\d+|procedure|pseudo\s*code|pseudocode)\b') THEN 'algorithm'
+    WHEN NOT regexp_matches({t}, '^(\.\.\.|\[[.\s]*\])$') AND (regexp_matches({t}, '\n( {{4}}|\t)') OR regexp_matches({t}, '{text.CODE}')) THEN 'code'
+    WHEN length({t}) <= 500 AND regexp_matches({t}, '{text.FORMULA}') AND regexp_matches({t}, '{text.FORMULA_SIGN}') THEN 'formula'
+    WHEN regexp_matches({first}, '(?i)^\[\d+\]|\bet al\.\b|^references$') THEN 'reference' WHEN regexp_matches({first}, '^[-*•]') THEN 'list' ELSE 'paragraph' END"""
+
+
+@query(rf"WITH {_B}, t AS (SELECT id, order_index, regexp_replace(content, '^\s+|\s+$', '', 'g') AS t FROM b), f AS (SELECT *, trim(regexp_extract(t, '([^\s][^\n\r]*)', 1)) AS first FROM t) SELECT id, {_kind_sql('first', 't', 'order_index')} AS kind FROM f")
 def block_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kind of each block as its first line and its place say."""
     return _blocks(spark, d).select("id", text.block_kind(F.col("content"), F.col("order_index")).alias("kind"))
