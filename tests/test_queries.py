@@ -9,18 +9,18 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: What holds for every row of the queries that SQL does not compute.
 HOLDS = {
-    "block_shapes": ["id IS NOT NULL"],
+    "block_shapes": ["id IS NOT NULL", "code IS NOT NULL AND formula IS NOT NULL AND authors IS NOT NULL"],
     "markdown_parsed": ["order_index >= 0", "length(content_hash) = 64", "block_type = 'image_reference' OR trim(content) <> ''", "NOT (should_embed AND block_type IN ('title', 'authors', 'affiliation'))"],
     "lines_parsed": ["order_index >= 0", "length(content_hash) = 64", "trim(content) <> ''", "page_number >= 1"],
     "planned_units": ["chunk_index >= 0", "token_count >= 1", "length(content_hash) = 64", "size(source_block_ids) >= 1", "chunk_type <> 'fused_evidence' OR size(source_chunk_ids) = 2", "page_from IS NULL OR page_from <= page_to"],
-    "planning_windows": ["document_id IS NOT NULL"],
+    "planning_windows": ["`window` >= 0"],
     "boundaries_repaired": ["trim(content) <> ''"],
     "boundary_sources": ["trim(content) <> ''", "source_block_ids IS NULL OR size(source_block_ids) = size(array_distinct(source_block_ids))"],
     "boundaries_validated": ["trim(content) <> ''", "piece >= 0", "NOT (trim(element_at(split(content, '\\\\n'), -1)) RLIKE '^##\\\\s+[0-9]+(\\\\.[0-9]+)*\\\\s+.+$' AND size(split(content, '\\\\n')) > 1)"],
     "hybrid_hyde_rerank_search": ["rank BETWEEN 1 AND 10", "score BETWEEN 0 AND 1"],
-    "graded_results": ["query_id IS NOT NULL OR true"],
-    "neighbours_held": ["document_id IS NOT NULL"],
-    "extracted_keywords": ["true"],
+    "graded_results": ["query_id IS NOT NULL", "score BETWEEN 0 AND 1", "relevant OR NOT sufficient"],
+    "neighbours_held": ["id IS NOT NULL AND held IS NOT NULL"],
+    "extracted_keywords": ["size(keywords) <= 4", "size(keywords) = size(array_distinct(keywords))"],
 }
 
 
