@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.session import cut
 
-NEIGHBOURS, TABLES, VISITS, LEAF, REGION, SAMPLE = 10, 4, 4, 1024, 65_536, 20_000
+NEIGHBOURS, TABLES, VISITS, LEAF, REGION, SAMPLE = 10, 4, 4, 2048, 65_536, 20_000
 RECALL, ASKED, ASKED_WITHIN, SALTS = 0.99, 256, 128, 64
 
 
