@@ -88,7 +88,9 @@ def with_forms(own: list[str]) -> list[str]:
         before = [t.strip().lower() for t in own[max(0, i - 6) : i] if t[-1].isalpha()][-3:]
         form = _FORM.join([form.strip("._"), *before])
         while k < len(digits) and digits[k] <= j:
-            out[digits[k]] = f"{own[digits[k]]}{_FORM}{form}"
+            token = own[digits[k]]
+            word = token.lstrip()  # of digits only the first and their number count, so that few types arise
+            out[digits[k]] = f"{token[: len(token) - len(word)]}{word[0]}{'0' * (min(len(word), 6) - 1)}{_FORM}{form}"
             k += 1
     return out
 
