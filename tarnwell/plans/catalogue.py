@@ -440,6 +440,9 @@ def index_terms(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.postings(_index(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
+_WORDS = ("chunk_id", "paper_id", "chunking_strategy", "content")
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """The cases as queries; the vector of a case is that of its source chunk, as no model is at hand."""
     vectors = once(load_table(spark, d, "chunk_embeddings").where(F.col("model_name") == MODEL).select("chunk_id", "embedding"), "chunk_id")
@@ -469,13 +472,13 @@ hybrid AS (SELECT query_id, chunk_id, score, rank FROM hybrid_all WHERE rank <=
 @query(f"WITH {_SEARCH} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     """The ten best chunks for each case by its words, within its paper."""
-    return retrieval.bm25(_asked(spark, d), _index(spark, d), K).withColumn("score", F.round("score", 6))
+    return retrieval.bm25(cut(_asked(spark, d)), retrieval.stored(_index(spark, d), *_WORDS), K).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, chunk_id, round(score, 6) AS score FROM vec WHERE rank <= 10")
 def dense_search(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest chunks for each case, within its paper."""
-    return retrieval.dense(_asked(spark, d), _index(spark, d), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.dense(cut(_asked(spark, d)), retrieval.stored(_index(spark, d), "chunk_id", "paper_id", "chunking_strategy", "embedding"), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_SEARCH} SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM hybrid")
@@ -499,7 +502,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number()
 )
 def results_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each chunk over both searches."""
-    asked, index = _asked(spark, d), retrieval.stored(_index(spark, d))
+    asked, index = cut(_asked(spark, d)), retrieval.stored(_index(spark, d))
     both = retrieval.bm25(asked, index, K).withColumn("position", F.lit(0)).unionByName(retrieval.dense(asked, index, K).withColumn("position", F.lit(1)))
     return retrieval.best_of_each_chunk(both.drop("rank"), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -773,8 +776,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bm WHERE rank <=
 )
 def planned_chunk_search(spark: SparkSession, d: str) -> DataFrame:
     """Search by words among planned and fused chunks alone."""
-    asked = _asked(spark, d).withColumn("strategy_filter", F.lit("agentic"))
-    return retrieval.bm25(asked, _index(spark, d), K).withColumn("score", F.round("score", 6))
+    asked = cut(_asked(spark, d).withColumn("strategy_filter", F.lit("agentic")))
+    return retrieval.bm25(asked, retrieval.stored(_index(spark, d), *_WORDS), K).withColumn("score", F.round("score", 6))
 
 
 _PLAN = (("retrieval::bm25", "bm25", "fixed", ()), ("retrieval::hybrid", "hybrid", "agentic", ()), ("lookup::dense", "dense", "agentic", ("lookup",)))

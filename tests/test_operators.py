@@ -66,6 +66,32 @@ def test_bm25_matches_the_formula(spark):
     assert {c for q, c in found if q == "q3"} == {3}
 
 
+def test_bm25_in_blocks_is_that_of_one_block(spark):
+    index, asked = _index(spark), _asked(spark, ("q4", "pages retrieval", None, None, None), ("q5", "pages", None, 2, "fixed"), ("q6", None, None, None, None))
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
+    whole = rows(retrieval.bm25(asked, index, 2))
+    assert whole == rows(retrieval.bm25(asked, index, 2, rows_a_block=1)) and {q for q, *_ in whole} == {"q1", "q2", "q3", "q4"}
+    assert [r[1:] for r in whole if r[0] == "q1"] == [r[1:] for r in whole if r[0] == "q4"]
+    same = spark.createDataFrame([(9, "pages", 1, "fixed", None), (9, "pages", 2, "fixed", None), (8, None, 1, "fixed", None)], index.schema)  # one chunk with two papers; one without a text
+    found = rows(retrieval.bm25(asked, same, 5))
+    assert [(q, c) for q, c, *_ in found] == [("q1", 9), ("q4", 9), ("q5", 9)] and found[0][2] == pytest.approx(2 * math.log(1 + 1.5 / 2.5) / 2.2, abs=1e-8)
+
+
+def _shuffled_rows(spark):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_hits_of_a_common_word_are_not_shuffled(spark):
+    index = spark.range(600).selectExpr("id AS chunk_id", "concat('common w', id) AS content", "id % 2 AS paper_id", "'fixed' AS chunking_strategy")
+    asked = spark.range(300).selectExpr("id AS query_id", "concat('common w', id) AS query", "if(id % 3 = 0, NULL, id % 2) AS paper_filter", "CAST(NULL AS string) AS strategy_filter")
+    before = _shuffled_rows(spark)
+    assert retrieval.bm25(asked, index, 3).count() == 900
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert _shuffled_rows(spark) - before < 20_000  # 120,000 hits
+
+
 def test_dense_fused_and_reranked(spark):
     index, asked = _index(spark), _asked(spark)
     dense = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense(asked, index, 10, rows_a_block=1, queries_a_block=1).collect()}
