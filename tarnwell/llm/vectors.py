@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tarnwell.session import cut
 
 NEIGHBOURS, TABLES, VISITS, LEAF, REGION, SAMPLE = 10, 4, 4, 2048, 65_536, 20_000
-RECALL, ASKED, ASKED_WITHIN, SALTS = 0.99, 256, 128, 64
+RECALL, ASKED, ASKED_WITHIN, ASKED_AT_ONCE, SALTS = 0.99, 256, 128, 32_768, 64
 
 
 class HashTree:
@@ -161,52 +161,63 @@ class Found:
         self.held, self.count = [], 0
 
 
-def search_region(data: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, tables: int, visits: int, leaf: int, recall: float, block: int = 1 << 21) -> Found:
-    """The ``k`` data rows most similar to each query, through multiprobe tables over the data; ``own`` is a query's own place in the data or -1.
+class Region:
+    """Multiprobe tables over the data of a region; queries are answered in parts of any size.
 
-    As many cells are visited as find ``recall`` of the true neighbours of up to ``ASKED_WITHIN`` queries, compared with all data of the region.
+    As many cells are visited as find ``recall`` of the true neighbours of up to ``ASKED_WITHIN`` of the first queries, compared with all data of the region.
     """
-    found = Found(len(queries), k)
-    if not len(data) or not len(queries):
+
+    def __init__(self, data: np.ndarray, tables: int, leaf: int) -> None:
+        self.data, self.visits = data, 0
+        every = max(1, len(data) // SAMPLE)
+        self.trees = [HashTree(data[::every], len(data), leaf, 7919 * t + 17) for t in range(tables)] if len(data) else []
+        self.homes = []
+        for tree in self.trees:
+            home = tree.visits(data, 1)[:, 0]
+            by_leaf = np.argsort(home, kind="stable")
+            self.homes.append((by_leaf, np.searchsorted(home[by_leaf], np.arange(tree.leaves + 1))))
+
+    def measure(self, queries: np.ndarray, own: np.ndarray, k: int, visits: int, recall: float) -> None:
+        data, self.visits = self.data, max(visits, self.visits)
+        if len(queries) and self.trees and max(t.leaves for t in self.trees) > visits:
+            some = np.unique(np.linspace(0, len(queries) - 1, min(ASKED_WITHIN, len(queries))).astype(int))
+            cosines = queries[some] @ data.T
+            cosines[own[some] >= 0, own[some][own[some] >= 0]] = -np.inf
+            most = min(k, len(data))
+            near = np.argpartition(-cosines, most - 1, axis=1)[:, :most]
+            good = np.isfinite(np.take_along_axis(cosines, near, 1))
+            self.visits = max(self.visits, _needed_visits(self.trees, queries[some], [data[n[g]] for n, g in zip(near, good)], visits, recall))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, block: int = 1 << 21) -> Found:
+        """The ``k`` data rows most similar to each query; ``own`` is a query's own place in the data or -1."""
+        found, data = Found(len(queries), k), self.data
+        if not len(queries):
+            return found
+        for tree, (by_leaf, edges) in zip(self.trees, self.homes):
+            seen = tree.visits(queries, self.visits)
+            cells, turn = seen.ravel(), np.arange(seen.size) // seen.shape[1]
+            asking = np.argsort(cells, kind="stable")
+            bounds = np.searchsorted(cells[asking], np.arange(tree.leaves + 1))
+            for cell in range(tree.leaves):
+                members = by_leaf[edges[cell] : edges[cell + 1]]
+                asked = turn[asking[bounds[cell] : bounds[cell + 1]]]
+                if not len(members) or not len(asked):
+                    continue
+                there = data[members]
+                for i in range(0, len(asked), max(1, block // len(members))):
+                    rows = asked[i : i + max(1, block // len(members))]
+                    cosines = queries[rows] @ there.T
+                    least = found.cosine[rows, -1]
+                    fresh = np.flatnonzero(np.isneginf(least))
+                    if len(fresh) and len(members) > k:  # no bound yet: the k-th best of this cell
+                        least = least.copy()
+                        least[fresh] = np.partition(cosines[fresh], len(members) - k - 1, axis=1)[:, len(members) - k - 1]
+                    at = np.flatnonzero((cosines >= least[:, None]).ravel())  # flat places are much faster than pairs
+                    row, column = rows[at // len(members)], members[at % len(members)]
+                    other = own[row] != column
+                    found.add(row[other], column[other], cosines.ravel()[at][other])
+            found.settle()
         return found
-    every = max(1, len(data) // SAMPLE)
-    trees = [HashTree(data[::every], len(data), leaf, 7919 * t + 17) for t in range(tables)]
-    if max(t.leaves for t in trees) > visits:
-        some = np.unique(np.linspace(0, len(queries) - 1, min(ASKED_WITHIN, len(queries))).astype(int))
-        cosines = queries[some] @ data.T
-        cosines[own[some] >= 0, own[some][own[some] >= 0]] = -np.inf
-        most = min(k, len(data))
-        near = np.argpartition(-cosines, most - 1, axis=1)[:, :most]
-        good = np.isfinite(np.take_along_axis(cosines, near, 1))
-        visits = _needed_visits(trees, queries[some], [data[n[g]] for n, g in zip(near, good)], visits, recall)
-    for tree in trees:
-        home = tree.visits(data, 1)[:, 0]
-        by_leaf = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[by_leaf], np.arange(tree.leaves + 1))
-        seen = tree.visits(queries, visits)
-        cells, turn = seen.ravel(), np.arange(seen.size) // seen.shape[1]
-        asking = np.argsort(cells, kind="stable")
-        bounds = np.searchsorted(cells[asking], np.arange(tree.leaves + 1))
-        for cell in range(tree.leaves):
-            members = by_leaf[edges[cell] : edges[cell + 1]]
-            asked = turn[asking[bounds[cell] : bounds[cell + 1]]]
-            if not len(members) or not len(asked):
-                continue
-            there = data[members]
-            for i in range(0, len(asked), max(1, block // len(members))):
-                rows = asked[i : i + max(1, block // len(members))]
-                cosines = queries[rows] @ there.T
-                least = found.cosine[rows, -1]
-                fresh = np.flatnonzero(np.isneginf(least))
-                if len(fresh) and len(members) > k:  # no bound yet: the k-th best of this cell
-                    least = least.copy()
-                    least[fresh] = np.partition(cosines[fresh], len(members) - k - 1, axis=1)[:, len(members) - k - 1]
-                at = np.flatnonzero((cosines >= least[:, None]).ravel())  # flat places are much faster than pairs
-                row, column = rows[at // len(members)], members[at % len(members)]
-                other = own[row] != column
-                found.add(row[other], column[other], cosines.ravel()[at][other])
-        found.settle()
-    return found
 
 
 def _usable(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +274,15 @@ def neighbours(
     region: int = REGION,
     sample: int = SAMPLE,
     recall: float = RECALL,
+    at_once: int = ASKED_AT_ONCE,
 ) -> DataFrame:
     """``vector_id``, ``neighbour_id``, ``cosine``, ``place`` of the ``k`` most similar usable vectors of the same model.
 
     Regions of about ``region`` vectors at most are cut by a tree fitted on about ``sample`` vectors a
     model; every vector is indexed in one. A query asks in as many regions, and in each visits as many cells
     of about ``leaf`` vectors in each of ``tables`` tables, as find ``recall`` of the true neighbours of some
-    vectors that are compared with all rows. Cosines are exact.
+    vectors that are compared with all rows. Cosines are exact. A task holds the vectors of a region and at most
+    about ``at_once`` of those that ask in it, however many ask.
 
     Equal vectors are searched once: each has its copies as neighbours first, by id, then the others; of
     equal vectors only the ``k + 1`` least ids of each batch travel, so a vector with a third of all rows
@@ -327,48 +340,103 @@ def neighbours(
                 ["region", "key", "id", "asked", "asks", "unit"],
             )
 
-    def compare(group: pa.Table) -> pa.Table:
-        key, asked = group.column("key").to_numpy(), group.column("asked").to_numpy(zero_copy_only=False).astype(bool)
-        asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids = group.column("id").fill_null(0).to_numpy()
-        home = group.column("id").is_valid().to_numpy(zero_copy_only=False).astype(bool)
-        whole = np.flatnonzero(group.column("unit").is_valid().to_numpy(zero_copy_only=False))
-        packed = group.column("unit").combine_chunks()
-        size = sizes[names[int(group.column("region")[0].as_py() % len(names))]]
-        units = np.frombuffer(b"".join(packed.take(pa.array(whole)).to_pylist()), np.float32).reshape(-1, size)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that lie in the region come first, then those that only ask in it, by key: of these, few are held at a time."""
+        home: list[pa.RecordBatch] = []
+        asking: list[pa.RecordBatch] = []
+        answer = None
+        for batch in batches:
+            here = batch.num_rows - batch.column("id").null_count
+            home += [batch.slice(0, here)] if here else []
+            if here == batch.num_rows:
+                continue
+            asking.append(batch.slice(here))
+            if sum(len(x) for x in asking) < at_once:
+                continue
+            table = pa.Table.from_batches(asking)
+            keys = table.column("key").to_numpy()
+            cut_at = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            if cut_at:
+                if answer is None:
+                    answer = Answers(home, table.schema)
+                    yield from answer.at_home()
+                yield answer.elsewhere(table.slice(0, cut_at))
+                asking = table.slice(cut_at).to_batches()
+        if answer is None and home + asking:
+            answer = Answers(home, (home + asking)[0].schema)
+            home = []
+            yield from answer.at_home()
+        if asking:
+            yield answer.elsewhere(pa.Table.from_batches(asking))
+
+    class Answers:
+        def __init__(self, home: list[pa.RecordBatch], schema: pa.Schema) -> None:
+            table = pa.Table.from_batches(home, schema)
+            key, asked, ids = table.column("key").to_numpy(), table.column("asked").to_numpy(zero_copy_only=False).astype(bool), table.column("id").to_numpy()
+            asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            self.keys, units = unit_rows(table)
+            at = np.searchsorted(self.keys, key)
+            self.asker = np.flatnonzero(np.bincount(at, weights=asks, minlength=len(self.keys)) > 0)
+            # the least ids of each key
+            order = np.lexsort((~asked, ids, at))
+            order = order[np.concatenate([[True], (at[order[1:]] != at[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])])] if len(order) else order
+            order = order[_places(at[order]) <= k]
+            self.copies = np.bincount(at[order], minlength=len(self.keys))
+            self.starts = np.cumsum(self.copies) - self.copies
+            self.ids, self.asked = ids[order], asked[order]
+            self.region = Region(units, tables, leaf)
+            self.measured = False
+
+        def at_home(self) -> Iterator[pa.RecordBatch]:
+            units = self.region.data
+            self.region.measure(units[self.asker], self.asker, k, visits, recall)
+            for i in range(0, len(self.asker), at_once):
+                own = self.asker[i : i + at_once]
+                yield self.rows(self.keys[own], units[own], own)
+
+        def elsewhere(self, table: pa.Table) -> pa.RecordBatch:
+            keys, units = unit_rows(table)
+            other = ~np.isin(keys, self.keys)
+            keys, units = keys[other], units[other]
+            if not self.measured:
+                self.region.measure(units, np.full(len(keys), -1), k, visits, recall)
+                self.measured = True
+            return self.rows(keys, units, np.full(len(keys), -1))
+
+        def rows(self, keys: np.ndarray, units: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            found = self.region.search(units, own, k)
+            row, place = np.nonzero(found.data >= 0)
+            near = found.data[row, place]
+            # from keys to ids: every copy counts, until there are k
+            row, near, cosine = (np.repeat(x, self.copies[near]) for x in (row, near, found.cosine[row, place]))
+            turn = np.arange(len(row)) - np.repeat(*_run_starts(row, near)) if len(row) else np.zeros(0, np.int64)
+            neighbour = self.ids[self.starts[near] + turn]
+            use = _places(row) < k
+            row, neighbour, cosine = row[use], neighbour[use], cosine[use]
+            copies = np.where(own >= 0, self.copies[own], 0) if len(self.copies) else np.zeros(len(own), np.int64)
+            mine = np.repeat(np.where(own >= 0, self.starts[own], 0), copies) + _places(np.repeat(np.arange(len(own)), copies)) if copies.any() else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys),
+                    _lists(copies, ("id", pa.array(self.ids[mine])), ("asked", pa.array(self.asked[mine]))),
+                    _lists(np.bincount(row, minlength=len(own)), ("away", pa.array(-cosine, pa.float32())), ("id", pa.array(neighbour))),
+                ],
+                ["key", "own", "near"],
+            )
+
+    def unit_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The keys in order, each once, and their vectors."""
+        key, packed = table.column("key").to_numpy(), table.column("unit").combine_chunks()
+        whole = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False))
         keys, first = np.unique(key[whole], return_index=True)
-        units = units[first]
-        at = np.searchsorted(keys, key)
-        asking = np.bincount(at, weights=asks, minlength=len(keys)) > 0
-        # the least ids of each key that lies here
-        order = np.flatnonzero(home)
-        order = order[np.lexsort((~asked[order], ids[order], at[order]))]
-        order = order[np.concatenate([[True], (at[order[1:]] != at[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])])] if len(order) else order
-        order = order[_places(at[order]) <= k]
-        copies = np.bincount(at[order], minlength=len(keys))
-        starts = np.cumsum(copies) - copies
-        data, asker = np.flatnonzero(copies > 0), np.flatnonzero(asking)
-        own = np.full(len(keys), -1)
-        own[data] = np.arange(len(data))
-        found = search_region(units[data], units[asker], own[asker], k, tables, visits, leaf, recall)
-        row, place = np.nonzero(found.data >= 0)
-        near = data[found.data[row, place]]
-        # from keys to ids: every copy counts, until there are k
-        row, near, cosine = (np.repeat(x, copies[near]) for x in (row, near, found.cosine[row, place]))
-        turn = np.arange(len(row)) - np.repeat(*_run_starts(row, near)) if len(row) else np.zeros(0, np.int64)
-        neighbour = ids[order][starts[near] + turn]
-        use = _places(row) < k
-        row, neighbour, cosine = row[use], neighbour[use], cosine[use]
-        mine = np.repeat(starts[asker], copies[asker]) + _places(np.repeat(np.arange(len(asker)), copies[asker]))
-        return pa.table(
-            {
-                "key": pa.array(keys[asker]),
-                "own": _lists(copies[asker], ("id", pa.array(ids[order][mine])), ("asked", pa.array(asked[order][mine]))),
-                "near": _lists(np.bincount(row, minlength=len(asker)), ("away", pa.array(-cosine, pa.float32())), ("id", pa.array(neighbour))),
-            }
-        )
-
-    compared = given.mapInArrow(route, _ROUTED).groupBy("region").applyInArrow(compare, _COMPARED)
+        if not len(keys):
+            return keys, np.zeros((0, 1), np.float32)
+        packed = packed.take(pa.array(whole[first]))
+        low, high = (np.frombuffer(packed.buffers()[1], np.int32)[packed.offset + i] for i in (0, len(packed)))
+        return keys, np.frombuffer(packed.buffers()[2], np.uint8)[low:high].view(np.float32).reshape(len(keys), -1)
+
+    routed = given.mapInArrow(route, _ROUTED).repartition("region").sortWithinPartitions("region", F.col("id").isNull(), "key")
+    compared = routed.groupBy("region").applyInArrow(compare, _COMPARED)
     # regions hold different vectors, so their lists only have to be put in one order
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     merged = cut(compared.groupBy("key").agg(F.max("own").alias("own"), near.alias("near")))

@@ -88,3 +88,13 @@ def test_cases(spark):
     pairs = [tuple(r) for r in vectors.pairs(vectors.neighbours(df, dimensions=DIMENSIONS, k=10)).collect()]
     assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs) and (30, 31) in pairs
     assert vectors.neighbours(df.limit(0), dimensions=DIMENSIONS).count() == 0
+
+
+def test_asking_vectors_come_in_parts(spark):
+    """However few of the vectors that ask in a region are held at a time, each finds what it finds when all are held."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "m", rng.standard_normal(8).astype(np.float32).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows + rows[:100], SCHEMA).repartition(5)
+    found = [sorted((r.vector_id, r.neighbour_id) for r in vectors.neighbours(df, dimensions=DIMENSIONS, k=5, leaf=50, region=300, sample=1000, visits=40, at_once=n).collect()) for n in (16, 10**6)]
+    assert len(found[0]) == len(set(found[0])) == 6000
+    assert len(set(found[0]) & set(found[1])) >= 5990  # equal but for cosines that rounding tells apart
