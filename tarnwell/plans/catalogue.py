@@ -487,6 +487,12 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search("hybrid", _asked(spark, d), _index(spark, d), K).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
+def _found_in_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Fused results, and the index they come from: joined and written once for both."""
+    index = retrieval.stored(_index(spark, d), *_WORDS, "embedding", "document_id", "section_name")
+    return retrieval.search("hybrid", _asked(spark, d), index, K, kept=True).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank"), index
+
+
 @query()
 def hybrid_hyde_rerank_search(spark: SparkSession, d: str) -> DataFrame:
     """Fused results of queries and expanded queries, reranked by shared terms."""
@@ -543,7 +549,8 @@ SELECT *, chunk_hit OR document_hit OR section_hit OR keyword_hit AS citation_so
 )
 def case_sources(spark: SparkSession, d: str) -> DataFrame:
     """What of each case's gold the fused results hold."""
-    results = hybrid_search(spark, d).join(_index(spark, d).select("chunk_id", "document_id", "section_name", "content"), "chunk_id")
+    found, index = _found_in_index(spark, d)
+    results = found.join(index.select("chunk_id", "document_id", "section_name", "content"), "chunk_id")
     return evaluation.source_metrics(results.drop("score", "rank"), _cases(spark, d).withColumn("query_id", F.col("id")), ["query_id"])
 
 
@@ -576,7 +583,8 @@ ranks AS (SELECT n.id AS query_id, any_value(paper_id) AS paper_id, any_value(ar
 
 
 def _hit_ranks(spark: SparkSession, d: str) -> DataFrame:
-    results = hybrid_search(spark, d).join(_index(spark, d).select("chunk_id", "section_name", "content"), "chunk_id")
+    found, index = _found_in_index(spark, d)
+    results = found.join(index.select("chunk_id", "section_name", "content"), "chunk_id")
     cases = _cases(spark, d).select(F.col("id").alias("query_id"), "paper_id", "arxiv_id", "source_chunk_id", "gold_sections", "gold_keywords")
     return evaluation.first_hit(results, cases).join(cases.select("query_id", "paper_id", "arxiv_id"), "query_id")
 

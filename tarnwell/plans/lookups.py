@@ -164,7 +164,7 @@ SELECT query_id, {_metric_columns()} FROM m GROUP BY 1"""
 def case_metrics_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of each case by its gold chunks; by its gold documents where it has none, as those without a paper are taken to have."""
     index = retrieval.stored(_index(spark, d))
-    found = retrieval.search("hybrid", _asked(spark, d), index, K).join(_chunks(spark, d).select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+    found = retrieval.search("hybrid", _asked(spark, d), index, K, kept=True).join(_chunks(spark, d).select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
     cases = _cases(spark, d).select(F.col("id").alias("query_id"), F.when(F.col("paper_id").isNotNull(), F.col("gold_chunk_ids")).alias("chunks"), F.col("gold_document_ids").alias("documents"))
     return evaluation.metrics_with_fallback(found, cases, ["query_id"])
 
