@@ -509,7 +509,8 @@ SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number()
 def results_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     """The best score of each chunk over both searches."""
     asked, index = cut(_asked(spark, d)), retrieval.stored(_index(spark, d))
-    both = retrieval.bm25(asked, index, K).withColumn("position", F.lit(0)).unionByName(retrieval.dense(asked, index, K).withColumn("position", F.lit(1)))
+    by_words, by_vector = cut(retrieval.bm25_lists(asked, index, K)), cut(retrieval.dense_lists(asked, index, K))
+    both = retrieval.ranked(by_words).withColumn("position", F.lit(0)).unionByName(retrieval.ranked(by_vector).withColumn("position", F.lit(1)))
     return retrieval.best_of_each_chunk(both.drop("rank"), K).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -564,8 +565,8 @@ def variant_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Mean metrics of three search strategies over all cases, in one job."""
     asked, index = cut(_asked(spark, d)), retrieval.stored(_index(spark, d))
     wide = retrieval.OVERFETCH * K
-    by_words, by_vector = cut(retrieval.bm25(asked, index, wide)), cut(retrieval.dense(asked, index, wide))
-    fused = retrieval.fuse({"bm25": by_words, "vector": by_vector})
+    lists = {"bm25": cut(retrieval.bm25_lists(asked, index, wide)), "vector": cut(retrieval.dense_lists(asked, index, wide))}
+    by_words, by_vector, fused = retrieval.ranked(lists["bm25"]), retrieval.ranked(lists["vector"]), retrieval.fused_lists(lists)
     runs = None
     for name, found in (("bm25", by_words.where(F.col("rank") <= K)), ("dense", by_vector.where(F.col("rank") <= K)), ("hybrid", retrieval.top(fused, K, F.col("first_seen.source"), F.col("first_seen.rank")))):
         one = found.select(F.lit(name).alias("variant"), "query_id", F.col("chunk_id").alias("item"), "rank")

@@ -287,3 +287,71 @@ def test_policies(spark):
     asked = spark.createDataFrame([(1, "hello"), (2, "ranking of pages"), (3, "unknown matter")], "query_id int, query string")
     loop = agent.answer_loop(asked, lambda open_: open_.select("query_id", F.array(F.lit("pages and ranking")).alias("documents"), F.array(F.lit(None).cast("string")).alias("sections")), rewrite=lambda q: F.concat(q, F.lit(" again")), most_rewrites=1)
     assert rows(loop, "query_id", "status", "rewrites") == [(1, "direct", 0), (2, "answered", 0), (3, "gave_up", 1)]
+
+
+def _shuffled_bytes(spark):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_chunks_are_shuffled_once_for_queries_with_and_without_filter(spark):
+    draw = random.Random(5)
+    words = [f"{draw.getrandbits(60):015x}" for _ in range(3000)]
+    texts = [(i, f"own{i} " + " ".join(draw.choices(words, k=60)), i % 7, "fixed") for i in range(1500)]
+    index = spark.createDataFrame(texts, "chunk_id long, content string, paper_id long, chunking_strategy string")
+    asked = spark.createDataFrame([(i, f"own{i}", None if i % 2 else i % 7, None) for i in range(40)], "query_id long, query string, paper_filter long, strategy_filter string")
+    lexical = retrieval.lexical_index(index)
+    before = _shuffled_bytes(spark)
+    found = {r.query_id: r.chunk_id for r in retrieval.bm25(asked, lexical, 1, rows_a_block=200).collect()}
+    assert found == {i: i for i in range(40)}
+    assert _shuffled_bytes(spark) - before < 1.3 * sum(len(t[1]) for t in texts)
+
+
+def _plain_lists(asked, index, top_k, score):
+    """Each query against each row of the index; rows of one chunk count as one where ``score`` sums them."""
+    out = {}
+    for q in asked:
+        hits = score(q, [r for r in index if q["paper_filter"] is None or r["paper_id"] == q["paper_filter"]])
+        out[q["query_id"]] = sorted(hits, key=lambda h: (-h[1], h[0]))[:top_k]
+    return out
+
+
+def test_blocks_of_papers_give_what_all_rows_give(spark):
+    """Small papers, a large one, no paper, chunks with two papers and chunks that come twice; queries with and without a paper."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    index = []
+    for i in range(160):
+        row = {"chunk_id": i, "content": " ".join(draw.choices(words, k=draw.randrange(1, 12))), "chunking_strategy": "fixed", "embedding": [draw.uniform(-1, 1) for _ in range(4)]}
+        papers = [1] if i % 3 == 0 else [None] if i % 11 == 0 else [draw.randrange(2, 30)]
+        index += [row | {"paper_id": p} for p in papers + ([draw.randrange(1, 30)] if i % 9 == 0 else []) + (papers if i % 40 == 0 else [])]
+    asked = [{"query_id": f"q{i}", "query": " ".join(draw.choices(words, k=3)), "vector": [draw.uniform(-1, 1) for _ in range(4)], "paper_filter": [None, 1, draw.randrange(1, 32)][i % 3], "strategy_filter": None} for i in range(60)]
+    n, sizes, df = len(index), [len(r["content"].split()) for r in index], {w: sum(w in r["content"].split() for r in index) for w in words}
+    mean = sum(sizes) / n
+
+    def by_words(q, held):
+        found = {}
+        for r in held:
+            own = r["content"].split()
+            for w in set(q["query"].split()) & set(own):
+                tf = own.count(w)
+                found[r["chunk_id"]] = found.get(r["chunk_id"], 0) + math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(own) / mean))
+        return [(c, round(s, 9)) for c, s in found.items()]
+
+    def by_vector(q, held):
+        cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+        return [(r["chunk_id"], round((1 + cosine(q["vector"], r["embedding"])) / 2, 9)) for r in held]
+
+    rows = spark.createDataFrame(index, "chunk_id long, content string, chunking_strategy string, embedding array<double>, paper_id long")
+    queries = spark.createDataFrame(asked, "query_id string, query string, vector array<double>, paper_filter long, strategy_filter string")
+    for search, score in ((retrieval.bm25, by_words), (retrieval.dense, by_vector)):
+        expected = _plain_lists(asked, index, 5, score)
+        for block in (10, 10_000):
+            found = {}
+            for r in sorted(search(queries, rows, 5, rows_a_block=block).collect(), key=lambda r: r["rank"]):
+                found.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+            for q, hits in expected.items():
+                assert [c for c, _ in found.get(q, [])] == [c for c, _ in hits]
+                assert [s for _, s in found.get(q, [])] == pytest.approx([s for _, s in hits], abs=2e-9)
